@@ -1,7 +1,7 @@
 """Column profiles: counts, distinct values, frequent values and numeric summaries.
 
-Everything comes from `value_counts`, one typed `groupBy(value).count()` per column. Each branch scans only its own
-column, equal values are combined before the shuffle, so a value that fills a third of the table costs one row per task.
+Profiles of many columns come from one scan per column type: the columns of a type are laid out as (column_name, value),
+and equal values are combined before the shuffle, so a value that fills a third of the table costs one row per task.
 """
 
 from __future__ import annotations
@@ -35,10 +35,6 @@ def _empty(column: Column, dtype: T.DataType) -> Column:
     return F.coalesce(column == "", F.lit(False)) if isinstance(dtype, T.StringType) else F.lit(False)
 
 
-def _count_where(flag: Column) -> Column:
-    return F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0)).cast("bigint")
-
-
 def _percent(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total * 100).otherwise(F.lit(0.0))
 
@@ -48,34 +44,67 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _table_stats_row(df: DataFrame, table: str, column: str) -> DataFrame:
-    dtype = require_column(df, column, table)
+def _widened(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
+        return T.LongType()
+    return T.DoubleType() if isinstance(dtype, T.FloatType) else dtype
+
+
+def _by_type(df: DataFrame, columns: Sequence[str]) -> list[tuple[T.DataType, DataFrame]]:
+    """(type, rows of column_name and value) with one entry per type, so that values stay typed and need no text form."""
+    groups: dict[T.DataType, list[str]] = {}
+    for column in columns:
+        groups.setdefault(_widened(require_column(df, column)), []).append(column)
+    long = []
+    for dtype, names in groups.items():
+        cells = [F.struct(F.lit(n).alias("column_name"), F.col(n).cast(dtype).alias("value")) for n in names]
+        long.append((dtype, df.select(F.inline(F.array(*cells)))))
+    return long
+
+
+def _summed(df: DataFrame, columns: Sequence[str], measures) -> DataFrame:
+    """`measures(dtype, counted)` per column; `counted(flag)` is the number of rows for which the flag holds."""
+
+    def counted(flag: Column) -> Column:
+        return F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0)).cast("bigint")
+
+    parts = []
+    for dtype, rows in _by_type(df, columns):
+        counts = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        # No rows of null, so that the columns of an empty table are still there.
+        names = [F.lit(c) for c in columns if _widened(df.schema[c].dataType) == dtype]
+        none = df.sparkSession.range(0, 1, 1, 1).select(
+            F.explode(F.array(*names)).alias("column_name"), F.lit(None).cast(dtype).alias("value"), F.lit(0).cast("bigint").alias("n")
+        )
+        parts.append(counts.unionByName(none).groupBy("column_name").agg(*measures(dtype, counted)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _table_measures(dtype: T.DataType, counted) -> list[Column]:
     value = F.col("value")
-    counts = value_counts(df, column).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("row_count"),
-        _count_where(value.isNull()).alias("null_count"),
-        _count_where(_empty(value, dtype)).alias("empty_string_count"),
-        _count_where(_nan(value, dtype)).alias("nan_count"),
+    return [
+        counted(F.lit(True)).alias("row_count"),
+        counted(value.isNull()).alias("null_count"),
+        counted(_empty(value, dtype)).alias("empty_string_count"),
+        counted(_nan(value, dtype)).alias("nan_count"),
         F.count("value").alias("distinct_count"),
-    )
-    total = F.col("row_count")
-    return counts.select(
-        F.lit(table).alias("table_name"),
-        F.lit(column).alias("column_name"),
-        "row_count",
-        "null_count",
-        _percent(F.col("null_count"), total).alias("null_pct"),
-        "empty_string_count",
-        _percent(F.col("empty_string_count"), total).alias("empty_string_pct"),
-        "nan_count",
-        _percent(F.col("nan_count"), total).alias("nan_pct"),
-        "distinct_count",
-    )
+    ]
 
 
-def table_column_stats(df: DataFrame, table: str, column: str) -> DataFrame:
-    """One row for a table column; the `_pct` fields are percents. Unknown columns are an error."""
-    return _table_stats_row(df, table, column)
+COUNTS = ("null_count", "empty_string_count", "nan_count")
+
+
+def _table_stats(measured: DataFrame, table: str) -> DataFrame:
+    shares = [c for n in COUNTS for c in (n, _percent(F.col(n), F.col("row_count")).alias(n.replace("_count", "_pct")))]
+    return measured.select(F.lit(table).alias("table_name"), "column_name", "row_count", *shares, "distinct_count")
+
+
+def table_column_stats(df: DataFrame, table: str, columns: str | Sequence[str]) -> DataFrame:
+    """One row per table column; the `_pct` fields are percents. Unknown columns are an error."""
+    chosen = [columns] if isinstance(columns, str) else list(columns)
+    for column in chosen:
+        require_column(df, column, table)
+    return _table_stats(_summed(df, chosen, _table_measures), table)
 
 
 def top_values(df: DataFrame, column: str, limit: int = DATASET_TOP) -> DataFrame:
@@ -144,51 +173,48 @@ def dataset_column_stats(df: DataFrame, columns: Sequence[str] | None = None) ->
     """
     chosen = list(columns) if columns is not None else df.columns
 
-    def one(column: str) -> DataFrame:
-        dtype = require_column(df, column)
+    def measures(dtype: T.DataType, counted) -> list[Column]:
         value = F.col("value")
         missing = value.isNull() | _nan(value, dtype)
-        return value_counts(df, column).agg(
-            F.lit(column).alias("column_name"),
-            F.lit(dtype.simpleString()).alias("dtype"),
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows"),
-            _count_where(missing).alias("null_count"),
-            _count_where(_nan(value, dtype)).alias("nan_count"),
-            F.count(F.when(~missing, F.lit(1))).alias("unique_count"),
-        )
-
-    return reduce(DataFrame.unionByName, [one(c) for c in chosen])
+        return [
+            counted(F.lit(True)).alias("total_rows"),
+            counted(missing).alias("null_count"),
+            counted(_nan(value, dtype)).alias("nan_count"),
+            F.count_if(~missing).alias("unique_count"),
+        ]
+
+    types = F.create_map(*[F.lit(x) for c in chosen for x in (c, require_column(df, c).simpleString())])
+    dtype = F.try_element_at(types, F.col("column_name")).alias("dtype")
+    return _summed(df, chosen, measures).select(
+        "column_name", dtype, "total_rows", "null_count", "nan_count", "unique_count"
+    )
 
 
 def profile_all(tables: Mapping[str, DataFrame], approx: bool = False) -> DataFrame:
     """`table_column_stats` for every column of every table.
 
-    `approx=True` swaps the exact distinct count for a sketch: one scan per table and no shuffle of values.
+    `approx=True` swaps the exact distinct count for a sketch: then only sketches are shuffled, no values.
     """
-    if not approx:
-        rows = [_table_stats_row(df, name, c) for name, df in sorted(tables.items()) for c in df.columns]
-        return reduce(DataFrame.unionByName, rows)
-    return reduce(DataFrame.unionByName, [_sketch_profile(df, name) for name, df in sorted(tables.items())])
-
+    parts = []
+    for name, df in sorted(tables.items()):
+        if approx:
+            parts.append(_table_stats(_sketched(df), name))
+        else:
+            parts.append(table_column_stats(df, name, df.columns))
+    return reduce(DataFrame.unionByName, parts)
 
-def _sketch_profile(df: DataFrame, table: str) -> DataFrame:
-    total = F.count(F.lit(1))
 
-    def stats(field: T.StructField) -> Column:
-        value = F.col(field.name)
-        nulls, empties = F.count_if(value.isNull()), F.count_if(_empty(value, field.dataType))
-        nans = F.count_if(_nan(value, field.dataType))
-        return F.struct(
-            F.lit(table).alias("table_name"),
-            F.lit(field.name).alias("column_name"),
-            total.alias("row_count"),
-            nulls.alias("null_count"),
-            _percent(nulls, total).alias("null_pct"),
-            empties.alias("empty_string_count"),
-            _percent(empties, total).alias("empty_string_pct"),
-            nans.alias("nan_count"),
-            _percent(nans, total).alias("nan_pct"),
-            F.approx_count_distinct(value).alias("distinct_count"),
+def _sketched(df: DataFrame) -> DataFrame:
+    value = F.col("value")
+    parts = []
+    for dtype, rows in _by_type(df, df.columns):
+        parts.append(
+            rows.groupBy("column_name").agg(
+                F.count(F.lit(1)).alias("row_count"),
+                F.count_if(value.isNull()).alias("null_count"),
+                F.count_if(_empty(value, dtype)).alias("empty_string_count"),
+                F.count_if(_nan(value, dtype)).alias("nan_count"),
+                F.approx_count_distinct(value).alias("distinct_count"),
+            )
         )
-
-    return df.agg(F.array(*[stats(f) for f in df.schema.fields]).alias("all")).select(F.inline("all"))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ import importlib
 
 from workload.registry import ORACLES, QUERIES
 
-MODULES = ("profiles", "catalogs")
+MODULES = ("profiles", "catalogs", "texts")
 
 
 def load_all():

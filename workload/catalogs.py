@@ -237,10 +237,10 @@ SELECT c.c_custkey, c.c_name, count(o.o_orderkey) AS urgent_orders
 FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT'
 GROUP BY c.c_custkey, c.c_name"""
 PREVIOUS_MONTH = """
-WITH last AS (SELECT date_trunc('month', max(o_orderdate)) AS start_of_month FROM orders)
 SELECT o_orderstatus, count(*) AS orders
-FROM orders, last
-WHERE o_orderdate >= start_of_month - INTERVAL 1 MONTH AND o_orderdate < start_of_month
+FROM orders
+WHERE o_orderdate >= (SELECT date_trunc('month', max(o_orderdate)) - INTERVAL 1 MONTH FROM orders)
+  AND o_orderdate < (SELECT date_trunc('month', max(o_orderdate)) FROM orders)
 GROUP BY o_orderstatus"""
 
 

@@ -141,9 +141,7 @@ def _stats_sql(name: str, column: str, dtype: str) -> dict[str, str]:
     + _each(STATS, [_stats_sql("gappy", "label", "string"), _stats_sql("gappy", "score", "double")])
 )
 def table_column_stats(spark, sf_dir):
-    df = gappy(spark, sf_dir)
-    parts = [profile.table_column_stats(df, "gappy", c) for c in ("label", "score")]
-    return _rounded(parts[0].unionByName(parts[1]))
+    return _rounded(profile.table_column_stats(gappy(spark, sf_dir), "gappy", ["label", "score"]))
 
 
 PROFILED = {
