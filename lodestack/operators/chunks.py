@@ -7,7 +7,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestack.functions.rows import with_pinned
 from lodestack.functions.text import collapse_blanks, count_words, strip
 
 # Fixed values of the chunk rules.
@@ -79,7 +81,7 @@ def _pack(kinds, sizes, words, clean_words, ends, opens, wrapped) -> list[list[i
     return chunks
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def pack_lines(
     kinds: pd.Series,
     sizes: pd.Series,
@@ -126,7 +128,7 @@ def _facts(line: Column) -> Column:
 def with_chunks(docs: DataFrame, lines: str = "lines", chunks: str = "chunks") -> DataFrame:
     """Adds `chunks`: array of `<p>…</p>` texts and `<pai>` lines. `lines` are those of `normalize_paragraphs`."""
     known = F.coalesce(F.col(lines), F.array().cast("array<string>"))
-    df = docs.withColumn("_f", F.transform(F.transform(known, strip), _facts))
+    df = with_pinned(docs, _f=F.transform(F.transform(known, strip), _facts))
     names = ("kind", "size", "words", "clean_words", "ends", "opens", "wrapped")
     df = df.withColumn("_packed", pack_lines(*[F.col("_f")[n] for n in names]))
 

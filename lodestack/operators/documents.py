@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.functions.text import html_table_text, render_image, render_table, strip, table_fallback, truncate_text
+from lodestack.functions.rows import with_pinned
+from lodestack.functions.text import BLANK, html_table_text, render_image, render_table, strip, table_fallback, truncate_text
 
 CONTEXT_LINES = 5
 
@@ -24,7 +25,7 @@ HTML_TABLE = r"(?is)<table[^>]*>.*?</table>"
 SCAN_ORDER = (("image", re.compile(IMAGE)), ("pipe", re.compile(PIPE_TABLE)), ("html", re.compile(HTML_TABLE)))
 
 # Fixed pattern: lines that begin like this are never merged into the line before.
-STRUCTURAL = r"^(?:<pai>|[#\-•·*]|[123]\.)"
+STRUCTURAL = r"<pai>|[#\-•·*]|[123]\."
 SHORT_LINE = 40
 
 ITEM_SPANS = T.ArrayType(
@@ -65,7 +66,8 @@ def item_spans(texts: pd.Series) -> pd.Series:
 
 def with_items(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `items`: an array of structs in text order. `inner` marks an item that begins inside an earlier one."""
-    located = docs.withColumn("_spans", item_spans(text)).withColumn("_lines", F.split(text, "\n"))
+    whole = with_pinned(docs, **{text: F.col(text)})
+    located = with_pinned(whole.withColumn("_spans", item_spans(text)), _lines=F.split(text, "\n"))
 
     def item(span: Column, rank: Column) -> Column:
         match = F.substring(F.col(text), span["start"] + 1, span["end"] - span["start"])
@@ -92,7 +94,7 @@ def with_items(docs: DataFrame, text: str = "text") -> DataFrame:
             span["inner"].alias("inner"),
         )
 
-    return located.withColumn("items", F.array_sort(F.transform("_spans", item))).drop("_spans", "_lines")
+    return with_pinned(located, items=F.array_sort(F.transform("_spans", item))).drop("_spans", "_lines")
 
 
 def find_items(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -153,7 +155,7 @@ def splice_fallbacks(docs: DataFrame, text: str = "text", strict: bool = False)
             fallback_block(item).alias("value"),
         )
 
-    return docs.withColumn("_pieces", F.transform(used, piece)).withColumn(text, splice(F.col(text), F.col("_pieces"))).drop("_pieces")
+    return with_pinned(docs, **{text: splice(F.col(text), F.transform(used, piece))})
 
 
 def apply_replacements(
@@ -173,47 +175,24 @@ def apply_replacements(
     return joined.withColumn(text, spliced).drop("_pieces")
 
 
-def _merge_pass(df: DataFrame, lines: str, joins_previous) -> DataFrame:
-    """Joins each line for which `joins_previous(line, previous)` holds to the line before, with a space.
+def normalized_text(text: Column) -> Column:
+    """Trimmed non-blank lines, `<p>` unwrapped, with continuation lines merged in three passes.
 
-    The test reads the previous line of this pass only, so the pass is: put a space or a newline before each line,
-    concatenate, split again.
+    Whether a line joins the one before depends on that line of the same pass only, so a pass is one replacement of the
+    line breaks that go: after a colon or intro word, inside a split sentence, and before a short fragment.
     """
-    previous = F.concat(F.array(F.lit(None).cast("string")), F.col(lines))
-
-    def mark(line: Column, before: Column) -> Column:
-        glue = F.when(before.isNull(), F.lit("")).when(joins_previous(line, before), F.lit(" ")).otherwise(F.lit("\n"))
-        return F.concat(glue, line)
-
-    # The padded pair past the last line is null and array_join leaves it out.
-    text = F.array_join(F.zip_with(F.col(lines), previous, mark), "")
-    return df.withColumn(lines, F.when(F.size(lines) > 0, F.split(text, "\n")).otherwise(F.col(lines)))
+    inline_blank = r"[\s\x1c-\x1f&&[^\n]]*"
+    free = rf"(?!{STRUCTURAL})"
+    text = strip(F.regexp_replace(text, rf"(?U){BLANK}*\n{BLANK}*", "\n"))
+    text = F.regexp_replace(text, rf"(?Umd)^(?!.*<pai>)(?i:<p>){inline_blank}(.*?){inline_blank}(?i:</p>)$", "$1")
+    text = F.regexp_replace(text, rf"(?iUd)(:|(?:Highlights|Overview|Summary){inline_blank})\n{free}", "$1 ")
+    text = F.regexp_replace(text, rf"(?Umd)^({free}.*)(?<![.!?;])\n{free}", "$1 ")
+    return F.regexp_replace(text, rf"(?Umd)^(?!<pai>)(.*)\n{free}(?=.{{0,{SHORT_LINE - 1}}}$)", "$1 ")
 
 
 def normalize_paragraphs(docs: DataFrame, text: str = "text", lines: str = "lines") -> DataFrame:
-    """Adds `lines`: trimmed non-blank lines, `<p>` unwrapped, with continuation lines merged in three passes."""
-    unwrapped = r"(?id)^<p>(.*)</p>$"
-
-    def unwrap(line: Column) -> Column:
-        keep = F.contains(line, F.lit("<pai>")) | ~line.rlike(unwrapped)
-        return F.when(keep, line).otherwise(strip(F.regexp_extract(line, unwrapped, 1)))
-
-    stripped = F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
-    df = docs.withColumn(lines, F.transform(stripped, unwrap))
-
-    def introduced(line: Column, before: Column) -> Column:
-        opens = before.endswith(":") | before.rlike(r"(?iU)(?:Highlights|Overview|Summary)\s*$")
-        return opens & ~line.rlike(STRUCTURAL)
-
-    def continued(line: Column, before: Column) -> Column:
-        return ~line.rlike(STRUCTURAL) & ~before.rlike(STRUCTURAL) & ~before.rlike(r"(?U)[.!?;]\s*$")
-
-    def fragment(line: Column, before: Column) -> Column:
-        return (F.length(line) < SHORT_LINE) & ~line.rlike(STRUCTURAL) & ~before.startswith("<pai>")
-
-    for rule in (introduced, continued, fragment):
-        df = _merge_pass(df, lines, rule)
-    return df
+    """Adds `lines`, the lines of `normalized_text`."""
+    return with_pinned(docs, **{lines: F.split(normalized_text(F.col(text)), "\n")})
 
 
 def dedupe_logos(docs: DataFrame, lines: str = "lines") -> DataFrame:
@@ -227,5 +206,5 @@ def dedupe_logos(docs: DataFrame, lines: str = "lines") -> DataFrame:
         mine = F.get(F.col("_names"), at)
         return mine.isNull() | (F.array_position(F.col("_names"), mine) == at + 1)
 
-    named = docs.withColumn("_names", F.transform(lines, name))
-    return named.withColumn(lines, F.filter(lines, first_or_other)).drop("_names")
+    named = with_pinned(docs, _names=F.transform(lines, name))
+    return with_pinned(named, **{lines: F.filter(lines, first_or_other)}).drop("_names")

@@ -113,25 +113,18 @@ def normalize_paragraphs(spark, sf_dir):
     return lines.select("doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
-# A source's documents in order, one line each; lines of one language carry the logo of that language.
-LOGO_LINE_SQL = "'<pai> [Logo: ' || CASE WHEN n_chars > 1000 THEN upper(lang) ELSE lang || ' ' END || '] ' || n_chars || '</pai>'"
-
-
-@query(f"""
-WITH l AS (SELECT source, lang, doc_id, kind, CASE kind WHEN 0 THEN {LOGO_LINE_SQL} ELSE text END AS line
-           FROM documents, (VALUES (0), (1)) k(kind))
-SELECT source, doc_id::BIGINT AS doc_id, kind::INTEGER AS kind, line FROM l
-WHERE kind = 1 OR doc_id = (SELECT min(doc_id) FROM documents d WHERE d.source = l.source AND d.lang = l.lang)""")
+# Each document opens with the logo of its language, ends with the same logo spelt otherwise, and one of its source.
+@query("""
+WITH d AS (SELECT doc_id, ['<pai>[Logo: ' || lang || '] ' || n_chars || '</pai>'] || string_split(text, chr(10))
+  || ['<pai>[Logo: ' || source || '] end</pai>'] AS lines FROM documents)
+SELECT doc_id, (i - 1)::INTEGER AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)""")
 def dedupe_logos(spark, sf_dir):
-    name = F.when(F.col("n_chars") > 1000, F.upper("lang")).otherwise(F.concat("lang", F.lit(" ")))
-    logo = F.concat(F.lit("<pai> [Logo: "), name, F.lit("] "), F.col("n_chars").cast("string"), F.lit("</pai>"))
-    # The document number rides in front of the line and is split off again; the operator strips only for its test.
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.array(logo, "text").alias("pair"))
-    ordered = docs.select("source", F.posexplode("pair").alias("kind", "line"), "doc_id")
-    books = ordered.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "kind", "line"))).alias("all"))
-    kept = dc.dedupe_logos(books.withColumn("lines", F.col("all.line")))
-    rows = kept.select("source", F.explode(F.array_distinct("lines")).alias("line"))
-    return rows
+    first = F.concat(F.lit("<pai>[Logo: "), "lang", F.lit("] "), F.col("n_chars").cast("string"), F.lit("</pai>"))
+    again = F.concat(F.lit("<pai> [LOGO:  "), F.upper("lang"), F.lit(" ] again</pai>"))
+    other = F.concat(F.lit("<pai>[Logo: "), "source", F.lit("] end</pai>"))
+    lines = F.concat(F.array(first), F.split("text", "\n"), F.array(again, other))
+    kept = dc.dedupe_logos(table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")))
+    return kept.select("doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
 @query(f"""
@@ -145,12 +138,13 @@ def _items(spark, sf_dir) -> DataFrame:
     return dc.find_items(docs.withColumn("text", tx.clean_markup(F.col("text"))))
 
 
-ITEMS_SQL = rf"""
+ITEM_PARTS_SQL = rf"""
 WITH m AS (SELECT doc_id, {CLEAN.format(c='text')} AS text FROM ({MARKDOWN_SQL})),
 d AS (SELECT m.doc_id, m.text, source, n_chars, lang,
   '| key | value |' || chr(10) || '|---|---|' || chr(10) || '| chars | ' || n_chars || ' |' || chr(10) AS pipe,
   '![figure](images/' || source || '/' || m.doc_id || '.png)' AS image,
-  '<table><tr><th>source</th><td>' || source || '</td></tr></table>' AS html FROM m JOIN documents USING (doc_id)),
+  '<table><tr><th>source</th><td>' || source || '</td></tr></table>' AS html FROM m JOIN documents USING (doc_id))"""
+ITEMS_SQL = ITEM_PARTS_SQL + """,
 i AS (
  SELECT doc_id, text, 'image' AS item_type, doc_id || '.png' AS identifier, doc_id || '.png' AS content, image AS original_match, 0 AS height FROM d
  UNION ALL SELECT doc_id, text, 'table', 'table-2', pipe, pipe, 3 FROM d
@@ -214,7 +208,7 @@ def render_items(spark, sf_dir):
 @query(f"""
 SELECT doc_id, replace(replace(replace(text, pipe, '<pai>table ' || n_chars || '</pai>'), image, '<pai>image ' || source || '</pai>'),
   html, '<pai>html ' || lang || '</pai>') AS text
-FROM ({ITEMS_SQL.split(', i AS (')[0].rsplit('),', 1)[0] if False else ITEMS_SQL[: ITEMS_SQL.index('i AS (')].rstrip().rstrip(',')} SELECT * FROM d)""")
+FROM ({ITEM_PARTS_SQL} SELECT * FROM d)""")
 def apply_replacements(spark, sf_dir):
     docs = markdown(spark, sf_dir).withColumn("text", tx.clean_markup(F.col("text")))
     facts = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("string").alias("n"))
@@ -240,7 +234,7 @@ def document_job(spark, sf_dir):
 
 # A layout analysis per document: three figures on two pages, placed by its length.
 def layouts(spark, sf_dir) -> DataFrame:
-    n = F.col("n_chars").cast("double")
+    n = F.length("text").cast("double")
     box = lambda x, y: F.array(x, y, x + 2, y, x + 2, y + 1, x, y + 1)
     region = lambda page, polygon: F.array(F.struct(F.lit(page).alias("pageNumber"), polygon.alias("polygon")))
     span = lambda start, length: F.array(F.struct(start.cast("int").alias("offset"), F.lit(length).alias("length")))
@@ -251,7 +245,7 @@ def layouts(spark, sf_dir) -> DataFrame:
     point = F.struct(F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
     figures = F.array(
         figure("chart", 1, box(n / 100, n / 200), span(F.lit(0), 5)),
-        figure(None, 2, box(n / 10, n / 20), span(F.col("n_chars") / 2, 3)),
+        figure(None, 2, box(n / 10, n / 20), span(F.floor(n / 2) + 5, 3)),
         figure("lost", 3, box(n, n), span(F.lit(9), 4)),
     )
     return table(spark, sf_dir, "documents").select(
@@ -263,19 +257,20 @@ def layouts(spark, sf_dir) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, 0 AS figure_no, 'chart' AS figure_id, 1 AS page, round(n_chars / 100 * 72, 6) AS x0, round(n_chars / 200 * 72, 6) AS y0,
-  round((n_chars / 100 + 2) * 72, 6) AS x1, round((n_chars / 200 + 1) * 72, 6) AS y1 FROM documents
-UNION ALL SELECT doc_id, 1, 'figure-2', 2, round(n_chars / 10 * (612 / 850), 6), round(n_chars / 20 * (792 / 1100), 6),
-  round((n_chars / 10 + 2) * (612 / 850), 6), round((n_chars / 20 + 1) * (792 / 1100), 6) FROM documents""")
+WITH d AS (SELECT *, length(text) AS n FROM documents)
+SELECT doc_id, 0 AS figure_no, 'chart' AS figure_id, 1 AS page, round(n / 100 * 72, 6) AS x0, round(n / 200 * 72, 6) AS y0,
+  round((n / 100 + 2) * 72, 6) AS x1, round((n / 200 + 1) * 72, 6) AS y1 FROM d
+UNION ALL SELECT doc_id, 1, 'figure-2', 2, round(n / 10 * (612 / 850), 6), round(n / 20 * (792 / 1100), 6),
+  round((n / 10 + 2) * (612 / 850), 6), round((n / 20 + 1) * (792 / 1100), 6) FROM d""")
 def figure_boxes(spark, sf_dir):
     found = boxes(layouts(spark, sf_dir))
     return found.withColumns({c: F.round(c, 6) for c in ("x0", "y0", "x1", "y1")})
 
 
 @query("""
-SELECT doc_id, CASE WHEN n < 5 THEN '' ELSE chr(10) || '![chart](images/' || source || '/chart.png)' || chr(10) END
-  || CASE WHEN h + 3 > n THEN substring(text, CASE WHEN n < 5 THEN 1 ELSE 6 END) ELSE substring(text, 6, h - 5) || chr(10)
-  || '![figure-2](images/' || source || '/figure-2.png)' || chr(10) || substring(text, h + 4) END AS text
-FROM (SELECT *, length(text) AS n, (n_chars // 2) AS h FROM documents)""")
+SELECT doc_id, CASE WHEN n < 5 THEN text ELSE chr(10) || '![chart](images/' || source || '/chart.png)' || chr(10)
+  || CASE WHEN h + 3 > n THEN substring(text, 6) ELSE substring(text, 6, h - 5) || chr(10)
+  || '![figure-2](images/' || source || '/figure-2.png)' || chr(10) || substring(text, h + 4) END END AS text
+FROM (SELECT *, length(text) AS n, length(text) // 2 + 5 AS h FROM documents)""")
 def splice_figures(spark, sf_dir):
     return spliced(layouts(spark, sf_dir))
