@@ -16,7 +16,10 @@ class CsvReadError(Exception):
 
 @dataclass(frozen=True)
 class CsvJob:
-    """Options of one CSV → Parquet job. `sample_size` is the lines used to infer types; -1 reads all."""
+    """Options of one CSV → Parquet job. `sample_size` is the lines used to infer types; -1 reads all.
+
+    `folder=True` also takes a folder of part files named `….csv`, as Spark writes them.
+    """
 
     input_path: str
     output_path: str | None = None
@@ -25,6 +28,7 @@ class CsvJob:
     sample_size: int = -1
     header: bool = True
     delimiter: str = ","
+    folder: bool = False
 
     def __post_init__(self) -> None:
         check_sample_size(self.sample_size)
@@ -40,12 +44,12 @@ def check_sample_size(sample_size: int) -> None:
         raise ValueError("sample_size must be -1 or at least 1")
 
 
-def _check_path(spark: SparkSession, path: str) -> None:
+def _check_path(spark: SparkSession, path: str, folder: bool) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(hadoop):
         raise CsvReadError(f"Input CSV not found at {path}")
-    if not system.getFileStatus(hadoop).isFile():
+    if not folder and not system.getFileStatus(hadoop).isFile():
         raise CsvReadError(f"Input path is not a file: {path}")
     if not path.lower().endswith(".csv"):
         raise CsvReadError(f"Input path must be a .csv file: {path}")
@@ -59,11 +63,11 @@ def _widened(schema: T.StructType) -> T.StructType:
 
 
 def read_csv(
-    spark: SparkSession, path: str, sample_size: int = -1, header: bool = True, delimiter: str = ","
+    spark: SparkSession, path: str, sample_size: int = -1, header: bool = True, delimiter: str = ",", folder: bool = False
 ) -> DataFrame:
     """A CSV file with inferred types. A value that does not fit the type fails the job that reads it."""
     check_sample_size(sample_size)
-    _check_path(spark, path)
+    _check_path(spark, path, folder)
     options = {"header": header, "sep": delimiter}
     try:
         guess = spark.read.options(inferSchema=True, **options)

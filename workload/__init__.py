@@ -6,7 +6,7 @@ import importlib
 
 from workload.registry import ORACLES, QUERIES
 
-MODULES = ("profiles", "catalogs", "texts")
+MODULES = ("profiles", "catalogs", "texts", "vectors", "metadata", "charts", "logs", "streams")
 
 
 def load_all():
