@@ -36,6 +36,7 @@ def stream_csv_drops(
         .load(drops)
     )
     catalog = f"{out}/files"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def load(batch: DataFrame, number: int) -> None:
         arrived = batch.withColumn("file_hash", F.sha2("content", 256))
@@ -54,10 +55,10 @@ def stream_csv_drops(
             "file_hash",
             "file_size",
         )
-        lines = F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")
+        lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
         body = F.filter(F.slice(lines, 2, F.size(lines)), lambda line: line != "")
         rows = arrived.select("path", F.explode(body).alias("line")).join(record.select("path", "file_id"), "path")
-        typed = rows.select("file_id", F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST"}).alias("r"))
+        typed = rows.select("file_id", F.from_csv("line", columns, {"mode": "FAILFAST"}).alias("r"))
         typed.select("file_id", "r.*").write.mode("overwrite").parquet(_folder(f"{out}/rows", number))
         record.write.mode("overwrite").parquet(_folder(catalog, number))
 
