@@ -107,3 +107,13 @@ def text_score(text: Column, query: Column) -> Column:
     """Sum over the query's tokens of their substring counts in the lower-case text."""
     lower = F.lower(text)
     return F.aggregate(query_tokens(query), F.lit(0).cast("bigint"), lambda n, t: n + substring_count(lower, t))
+
+
+def single_json(text: Column) -> Column:
+    """The text as a variant if it is one JSON value and nothing else, otherwise null.
+
+    The parser stops after the first value. Within a list and as a member of an object nothing may follow it.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(listed.isNotNull() & member.isNotNull(), F.try_parse_json(text))

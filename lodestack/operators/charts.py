@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.text import single_json
+
 
 def comparison(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, total): totals per group."""
@@ -58,7 +60,7 @@ def mark_maximum(points: DataFrame, value: str) -> DataFrame:
 
 def _entries(option: Column) -> Column:
     """The `series` of an option as array<variant>; one object counts as a list of one, an empty value as none."""
-    series = F.try_variant_get(F.try_parse_json(option), "$.series", "variant")
+    series = F.try_variant_get(single_json(option), "$.series", "variant")
     kind = F.schema_of_variant(series)
     empty = kind.isNull() | F.to_json(series).isin("null", "{}", "[]", '""', "0", "false")
     many = F.try_variant_get(series, "$", "array<variant>")

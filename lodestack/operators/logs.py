@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.responses import RULES, ResponseRule, json_candidates, problem
+from lodestack.functions.text import single_json
 from lodestack.sources.files import parse_json_lines
 
 EVENT_SCHEMA = "type string, thread_id string, item struct<type: string, text: string>"
@@ -47,7 +48,7 @@ def extract_json(messages: DataFrame, message: str = "text", kind: str | Respons
     for how, text in json_candidates(F.col(message)):
         df = df.withColumn(f"_{how}", text)
     for how in ("direct", "braces", "pattern"):
-        df = df.withColumn(f"_{how}_value", F.try_parse_json(f"_{how}"))
+        df = df.withColumn(f"_{how}_value", single_json(F.col(f"_{how}")))
     for how in ("direct", "braces", "pattern"):
         df = df.withColumn(f"_{how}_problem", problem(F.col(f"_{how}_value"), rule))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def csv_to_parquet(spark: SparkSession, job: CsvJob) -> dict[str, Any]:
     seen = Observation("csv rows")
     try:
         write_parquet(typed.observe(seen, F.count(F.lit(1)).alias("rows")), job.target)
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise CsvReadError(f"failed to convert CSV: {error}") from error
     types = {field.name: field.dataType.simpleString() for field in typed.schema.fields}
     return {"output_path": job.target, "rows": seen.get["rows"], "column_types": types}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.functions.text import strip
+from lodestack.functions.text import single_json, strip
 
 
 def hash_files(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -19,7 +19,7 @@ def parse_json_lines(lines: DataFrame, schema: T.StructType | str, line: str | C
     """Adds `event`, the line read with a fixed schema. Blank lines and lines that are not a JSON object are dropped."""
     text = strip(F.col(line) if isinstance(line, str) else line)
     kept = lines.withColumn("_text", text).where(F.col("_text").startswith("{"))
-    kept = kept.where(F.try_parse_json("_text").isNotNull())
+    kept = kept.where(single_json(F.col("_text")).isNotNull())
     return kept.withColumn("event", F.from_json("_text", schema)).drop("_text")
 
 
