@@ -83,7 +83,8 @@ def problem(value: Column, rule: ResponseRule) -> Column:
         checks.append((allowed, "response_type: not an allowed value"))
     checks += [(_type_of(value, n).isNull() | (_type_of(value, n) == "STRING"), f"{n}: string expected") for n in rule.texts]
     checks += [(_type_of(value, n).isNull() | all_of(n, "OBJECT"), f"{n}: list of objects expected") for n in rule.objects]
-    return F.coalesce(*[F.when(~F.coalesce(fine, F.lit(False)), F.lit(text)) for fine, text in checks], F.lit(None).cast("string"))
+    found = F.coalesce(*[F.when(~F.coalesce(fine, F.lit(False)), F.lit(text)) for fine, text in checks])
+    return F.when(value.isNotNull(), found)
 
 
 def json_candidates(message: Column) -> list[tuple[str, Column]]:

@@ -23,7 +23,7 @@ def words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
 def clean_markup(text: Column) -> Column:

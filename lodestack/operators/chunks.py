@@ -128,7 +128,7 @@ def _facts(line: Column) -> Column:
 def with_chunks(docs: DataFrame, lines: str = "lines", chunks: str = "chunks") -> DataFrame:
     """Adds `chunks`: array of `<p>…</p>` texts and `<pai>` lines. `lines` are those of `normalize_paragraphs`."""
     known = F.coalesce(F.col(lines), F.array().cast("array<string>"))
-    df = with_pinned(docs, _f=F.transform(F.transform(known, strip), _facts))
+    df = with_pinned(docs, _f=F.transform(known, _facts))
     names = ("kind", "size", "words", "clean_words", "ends", "opens", "wrapped")
     df = df.withColumn("_packed", pack_lines(*[F.col("_f")[n] for n in names]))
 

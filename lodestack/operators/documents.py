@@ -184,10 +184,11 @@ def normalized_text(text: Column) -> Column:
     inline_blank = r"[\s\x1c-\x1f&&[^\n]]*"
     free = rf"(?!{STRUCTURAL})"
     text = strip(F.regexp_replace(text, rf"(?U){BLANK}*\n{BLANK}*", "\n"))
-    text = F.regexp_replace(text, rf"(?Umd)^(?!.*<pai>)(?i:<p>){inline_blank}(.*?){inline_blank}(?i:</p>)$", "$1")
-    text = F.regexp_replace(text, rf"(?iUd)(:|(?:Highlights|Overview|Summary){inline_blank})\n{free}", "$1 ")
-    text = F.regexp_replace(text, rf"(?Umd)^({free}.*)(?<![.!?;])\n{free}", "$1 ")
-    return F.regexp_replace(text, rf"(?Umd)^(?!<pai>)(.*)\n{free}(?=.{{0,{SHORT_LINE - 1}}}$)", "$1 ")
+    text = F.regexp_replace(text, rf"(?Umd)^(?i:<p>)(?!.*<pai>){inline_blank}(.*?){inline_blank}(?i:</p>)$", "$1")
+    # Patterns that begin with the line break let the search skip all other characters.
+    text = F.regexp_replace(text, rf"\n(?<=(?i:Highlights|Overview|Summary|:)\n){free}", " ")
+    text = F.regexp_replace(text, rf"(?md)^({free}.*)(?<![.!?;])\n{free}", "$1 ")
+    return F.regexp_replace(text, rf"(?md)^(?!<pai>)(.*)\n{free}(?=.{{0,{SHORT_LINE - 1}}}$)", "$1 ")
 
 
 def normalize_paragraphs(docs: DataFrame, text: str = "text", lines: str = "lines") -> DataFrame:
@@ -200,7 +201,8 @@ def dedupe_logos(docs: DataFrame, lines: str = "lines") -> DataFrame:
     logo = r"(?i)^<pai>\s*\[logo:\s*([^\]]+)\]"
 
     def name(line: Column) -> Column:
-        return F.when(strip(line).rlike(logo), strip(F.lower(F.regexp_extract(strip(line), logo, 1))))
+        found = F.contains(F.lower(line), F.lit("logo:")) & strip(line).rlike(logo)
+        return F.when(found, strip(F.lower(F.regexp_extract(strip(line), logo, 1))))
 
     def first_or_other(line: Column, at: Column) -> Column:
         mine = F.get(F.col("_names"), at)

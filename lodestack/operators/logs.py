@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.responses import RULES, ResponseRule, json_candidates, problem
+from lodestack.functions.rows import with_pinned
 from lodestack.functions.text import single_json
 from lodestack.sources.files import parse_json_lines
 
@@ -44,13 +45,16 @@ def extract_json(messages: DataFrame, message: str = "text", kind: str | Respons
     that is JSON is final even if it breaks the rule; a balanced object that does falls through to the last form.
     """
     rule = RULES[kind] if isinstance(kind, str) else kind
-    df = messages
+    df, open_case = messages, F.lit(True)
     for how, text in json_candidates(F.col(message)):
-        df = df.withColumn(f"_{how}", text)
-    for how in ("direct", "braces", "pattern"):
-        df = df.withColumn(f"_{how}_value", single_json(F.col(f"_{how}")))
-    for how in ("direct", "braces", "pattern"):
-        df = df.withColumn(f"_{how}_problem", problem(F.col(f"_{how}_value"), rule))
+        # A later form is only looked at where the earlier ones gave no answer.
+        df = with_pinned(df, **{f"_{how}": F.when(open_case, text)})
+        df = with_pinned(df, **{f"_{how}_value": single_json(F.col(f"_{how}"))})
+        df = with_pinned(df, **{f"_{how}_problem": problem(F.col(f"_{how}_value"), rule)})
+        answered = F.col(f"_{how}_value").isNotNull()
+        if how != "direct":
+            answered = answered & F.col(f"_{how}_problem").isNull()
+        open_case = open_case & ~answered
 
     def parsed(how: str) -> Column:
         return F.col(f"_{how}_value").isNotNull()
