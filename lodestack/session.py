@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so that a lost executor does not replay earlier rounds."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written to the shared folder and read back, so that a lost executor does not replay earlier rounds.
+
+    Unlike a checkpointed frame, a written one carries no constraints of its old plan; in a loop those grow with every
+    round and slow the planning down.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
