@@ -6,8 +6,8 @@ Groups are dealt over blocks of bounded size by digest; each block is difference
 partial partition, and those are differenced again, block by block, until one remains. Positions are then resolved from
 the top down with joins.
 
-A group of copies larger than one shard's share cannot stay whole under this law; it is cut by id into pieces of about an
-eighth of a share. There are fewer such groups than shards.
+A group of copies larger than one shard's share cannot stay whole under this law; it is cut by id into pieces of about a
+thirty-second of a share. There are fewer such groups than shards.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def shard_documents(docs: DataFrame, scratch, shards: int = 24, doc_id: str = "d
     total, rows_total = rows.agg(F.sum("size"), F.count("*")).first()
     share = max(1, (total or 0) // shards)
     # fewer groups than shards can be larger than a share
-    large = groups.where(F.col("bytes") > share).select("digest", F.ceil(F.col("bytes") * 8 / F.lit(share)).alias("pieces"))
+    large = groups.where(F.col("bytes") > share).select("digest", F.ceil(F.col("bytes") * 32 / F.lit(share)).alias("pieces"))
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.lit(0))
     keyed = rows.join(F.broadcast(large), "digest", "left").withColumn("unit", F.concat_ws("-", "digest", piece.cast("string")))
     units = scratch.put(keyed.groupBy("unit").agg(F.sum("size").alias("bytes")).select("unit", F.array("bytes").alias("loads")))
