@@ -6,17 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.bpe import encode_documents
+from lodestack.llm.minhash import near_duplicates
 from lodestack.llm.mixing import plan_mix
+from lodestack.llm.quality import classify
 from lodestack.llm.sharding import shard_documents
+from lodestack.llm.substrings import remove_repeats
 from lodestack.llm.tables import Scratch, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op3"), shards=24)
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op4")).drop("spans")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -25,5 +40,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "op10"), weights=(3, 1, 2), share=1.5, most=2.0).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_sharding, op4_suffix_arrays, op5_byte_bpe, op10_mixing)}
 ORACLES: dict[str, str] = {}
