@@ -16,7 +16,7 @@ def bit_filter(df: DataFrame, value: Column, bits: int = 24) -> np.ndarray:
     first = F.shiftrightunsigned(value, 64 - bits)
     second = F.shiftrightunsigned(value, 8).bitwiseAND(F.lit((1 << bits) - 1))
     places = df.select(F.explode(F.array(first, second)).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
+    words = places.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
     got = words.toArrow()  # at most 2^(bits - 6) rows
     table = np.zeros(1 << bits - 6, np.int64)
     table[got["w"].to_numpy()] = got["v"].to_numpy()
