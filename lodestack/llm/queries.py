@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import encode_documents
+from lodestack.llm.dualtree import exact_top_k
 from lodestack.llm.minhash import near_duplicates
 from lodestack.llm.mixing import plan_mix
+from lodestack.llm.permutation import approximate_top_k
 from lodestack.llm.quality import classify
 from lodestack.llm.sharding import shard_documents
 from lodestack.llm.substrings import remove_repeats
@@ -36,9 +39,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "op10"), weights=(3, 1, 2), share=1.5, most=2.0).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_sharding, op4_suffix_arrays, op5_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_sharding, op4_suffix_arrays, op5_byte_bpe, op6_dual_tree, op7_permutation_index, op10_mixing)}
 ORACLES: dict[str, str] = {}
