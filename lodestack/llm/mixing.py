@@ -49,7 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     level = (F.lit(float(share)) * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
     levels = ranked.withColumn("level", level)
     free = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    return levels.withColumn("all", F.min(free).over(all_rows)).select(
+    whole = by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return levels.withColumn("all", F.first(free, ignorenulls=True).over(whole)).select(
         "source", "source_size", F.coalesce(F.least("cap", F.col("all") * F.col("w")), F.col("cap")).alias("target")
     )
 
