@@ -4,23 +4,56 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import encode_documents
+from lodestack.llm.lines import dedupe_lines
+from lodestack.llm.minhash import near_duplicates
 from lodestack.llm.mixing import mix_documents
+from lodestack.llm.quality import fit, score
 from lodestack.llm.tables import Scratch, table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The least score that passes.
+ACCEPTED = 0.7
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the quality classifier accepts."""
+    vectors, network = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, vectors, network, docs.columns, name="__score").where(F.col("__score") >= ACCEPTED).drop("__score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line matches; documents of which no line is left go."""
+    rebuilt = dedupe_lines(docs, Scratch(spark, "lines")).where("kept_text is null or n_removed = 0 or trim(kept_text) <> ''")
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    return rebuilt.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    gone = near_duplicates(docs, Scratch(spark, "near")).where("not kept").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it: not, once or twice."""
     return mix_documents(docs, Scratch(spark, "mix"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests per document copy."""
     return encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-STAGES = [("mixing", mix), ("byte-level BPE", encode)]
+STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE", encode),
+]
 
 #: Classifier, sketches and tokenizers are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import encode_documents
 from lodestack.llm.dualtree import exact_top_k
+from lodestack.llm.langid import identify
 from lodestack.llm.lines import dedupe_lines
 from lodestack.llm.minhash import near_duplicates
 from lodestack.llm.mixing import plan_mix
@@ -53,9 +54,13 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_lines(docs, Scratch(spark, "op8")).select("row.doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "op10"), weights=(3, 1, 2), share=1.5, most=2.0).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_sharding, op4_suffix_arrays, op5_byte_bpe, op6_dual_tree, op7_permutation_index, op8_lines, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_sharding, op4_suffix_arrays, op5_byte_bpe, op6_dual_tree, op7_permutation_index, op8_lines, op9_language, op10_mixing)}
 ORACLES: dict[str, str] = {}
