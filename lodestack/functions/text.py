@@ -10,7 +10,7 @@ BLANK = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(text, rf"(?U)^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -27,11 +27,14 @@ def count_words(text: Column) -> Column:
 
 
 def clean_markup(text: Column) -> Column:
-    """Without comments, empty `<p>`, runs of blank lines and trailing blanks, removed in this order."""
+    """Without comments, empty `<p>`, runs of blank lines and trailing blanks, removed in this order.
+
+    The four patterns are fixed values, but for the possessive forms that keep long runs of blanks linear.
+    """
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, rf"(?U)<p>{BLANK}*</p>", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"(?md)[ \t]+$", "")
+    return F.regexp_replace(text, r"(?md)(?<![ \t])[ \t]++$", "")
 
 
 def truncate_text(text: Column, limit: int = 3000) -> Column:

@@ -181,10 +181,10 @@ def normalized_text(text: Column) -> Column:
     Whether a line joins the one before depends on that line of the same pass only, so a pass is one replacement of the
     line breaks that go: after a colon or intro word, inside a split sentence, and before a short fragment.
     """
-    inline_blank = r"[\s\x1c-\x1f&&[^\n]]*"
+    inline_blank = r"[\s\x1c-\x1f&&[^\n]]"
     free = rf"(?!{STRUCTURAL})"
-    text = strip(F.regexp_replace(text, rf"(?U){BLANK}*\n{BLANK}*", "\n"))
-    text = F.regexp_replace(text, rf"(?Umd)^(?i:<p>)(?!.*<pai>){inline_blank}(.*?){inline_blank}(?i:</p>)$", "$1")
+    text = strip(F.regexp_replace(text, rf"(?U)(?<!{BLANK}){inline_blank}*+\n{BLANK}*+", "\n"))
+    text = F.regexp_replace(text, rf"(?Umd)^(?i:<p>)(?!.*<pai>){inline_blank}*(.*?){inline_blank}*(?i:</p>)$", "$1")
     # Patterns that begin with the line break let the search skip all other characters.
     text = F.regexp_replace(text, rf"\n(?<=(?i:Highlights|Overview|Summary|:)\n){free}", " ")
     text = F.regexp_replace(text, rf"(?md)^({free}.*)(?<![.!?;])\n{free}", "$1 ")

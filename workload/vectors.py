@@ -33,7 +33,7 @@ NEAREST_SQL = f"""
 WITH s AS ({STORED_SQL}), n AS ({SHIFTED_SQL}),
 p AS (SELECT new_id, stored_id, list_cosine_similarity(n.vector, s.vector) AS c FROM n, s),
 nearest AS (SELECT new_id, stored_id AS match_id, c AS similarity FROM p WHERE c >= 0.95
-  QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY c DESC, stored_id) = 1)
+  QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY round(c, 9) DESC, stored_id) = 1)
 """
 
 
@@ -54,7 +54,7 @@ WITH s AS ({STORED_SQL}),
 e AS (SELECT label, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS i FROM s),
 c AS (SELECT label AS query_id, list(x ORDER BY i) AS vector FROM (SELECT label, i, avg(x) AS x FROM e GROUP BY label, i) GROUP BY label)
 SELECT query_id, stored_id, round(list_cosine_similarity(c.vector, s.vector), 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(c.vector, s.vector) DESC, stored_id)::INTEGER AS rank
+  row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(c.vector, s.vector), 9) DESC, stored_id)::INTEGER AS rank
 FROM c, s QUALIFY rank <= 5""")
 def vector_top_k(spark, sf_dir):
     stored = stored_vectors(spark, sf_dir)
@@ -68,7 +68,7 @@ def vector_top_k(spark, sf_dir):
 @query(f"""
 WITH s AS ({STORED_SQL}), q AS (SELECT new_id AS query_id, label, vector FROM ({SHIFTED_SQL}))
 SELECT query_id, q.label, stored_id, round(list_cosine_similarity(q.vector, s.vector), 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.vector, s.vector) DESC, stored_id)::INTEGER AS rank
+  row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.vector, s.vector), 9) DESC, stored_id)::INTEGER AS rank
 FROM q JOIN s ON q.label = s.label QUALIFY rank <= 3""")
 def vector_top_k_by_collection(spark, sf_dir):
     queries = shifted_vectors(spark, sf_dir).withColumnRenamed("new_id", "query_id")
@@ -143,7 +143,7 @@ COLLECTION_SQL = f"""
 WITH c AS (SELECT label, 'c' || vec_id AS chunk_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS chunk_order,
   text AS chunk, embedding::DOUBLE[] AS vector FROM embeddings JOIN documents ON doc_id = vec_id),
 q AS (SELECT query_id, label, query, embedding::DOUBLE[] AS vector FROM ({TURNS_SQL}) JOIN embeddings ON vec_id = conv_id),
-v AS (SELECT query_id, label, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM (
+v AS (SELECT query_id, label, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM (
   SELECT query_id, q.label, chunk_id, list_cosine_similarity(q.vector, c.vector) AS score FROM q JOIN c ON c.label = q.label) QUALIFY r <= 5),
 t AS ({TOKENS_SQL.format(scope='label', queries='q')}),
 l AS (SELECT label, chunk_id, lower(chunk) AS chunk FROM c),
@@ -254,7 +254,8 @@ WITH r AS (SELECT 'h' || page_id AS file_hash, (i - 1)::INTEGER AS chunk_order,
         FROM (SELECT page_id, regexp_extract_all(html, '<p>(.*?)</p>', 1, 'is') AS bodies FROM pages))),
 v AS (SELECT *, {COUNTS_SQL.format(t='text')} AS vector FROM r WHERE text <> ''),
 s AS (SELECT {COUNTS_SQL.format(t='text')} AS vector FROM benchmark),
-m AS (SELECT file_hash, chunk_order, max(list_cosine_similarity(v.vector, s.vector)) AS best FROM v, s GROUP BY ALL)
+m AS (SELECT file_hash, chunk_order, max(CASE WHEN NOT isnan(c) THEN c END) AS best
+  FROM (SELECT file_hash, chunk_order, list_cosine_similarity(v.vector, s.vector) AS c FROM v, s) GROUP BY ALL)
 SELECT file_hash, count(*) AS total_chunks, count(*) FILTER (WHERE NOT coalesce(best >= 0.985, false)) AS inserted_chunks,
   count(*) FILTER (WHERE best >= 0.985) AS reused_chunks FROM m GROUP BY file_hash""")
 def ingest_page_chunks(spark, sf_dir):
