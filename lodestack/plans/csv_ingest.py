@@ -16,7 +16,7 @@ from lodestack.sources.tables import write_parquet
 
 def csv_to_parquet(spark: SparkSession, job: CsvJob) -> dict[str, Any]:
     """Reads, casts and writes; the rows are counted while they are written. Returns path, rows and column_types."""
-    raw = read_csv(spark, job.input_path, job.sample_size, job.header, job.delimiter, job.folder)
+    raw = read_csv(spark, job.input_path, job.sample_size, job.header, job.delimiter, job.folder, job.multi_line)
     typed = cast_by_name(raw, job.dtype_overrides, job.auto_cast_dates)
     seen = Observation("csv rows")
     try:

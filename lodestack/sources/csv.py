@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,7 +20,8 @@ class CsvReadError(Exception):
 class CsvJob:
     """Options of one CSV → Parquet job. `sample_size` is the lines used to infer types; -1 reads all.
 
-    `folder=True` also takes a folder of part files named `….csv`, as Spark writes them.
+    `folder=True` also takes a folder of part files named `….csv`, as Spark writes them. A delimiter of None is found from the
+    first lines, and so is whether quoted fields hold line breaks if `multi_line` is None.
     """
 
     input_path: str
@@ -27,8 +30,9 @@ class CsvJob:
     auto_cast_dates: bool = True
     sample_size: int = -1
     header: bool = True
-    delimiter: str = ","
+    delimiter: str | None = None
     folder: bool = False
+    multi_line: bool | None = None
 
     def __post_init__(self) -> None:
         check_sample_size(self.sample_size)
@@ -48,11 +52,11 @@ def _check_path(spark: SparkSession, path: str, folder: bool) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(hadoop):
-        raise CsvReadError(f"Input CSV not found at {path}")
+        raise CsvReadError(f"nothing to read at {path}")
     if not folder and not system.getFileStatus(hadoop).isFile():
-        raise CsvReadError(f"Input path is not a file: {path}")
+        raise CsvReadError(f"{path} is a folder; pass folder=True to read its part files")
     if not path.lower().endswith(".csv"):
-        raise CsvReadError(f"Input path must be a .csv file: {path}")
+        raise CsvReadError(f"{path} has no .csv ending")
 
 
 def _widened(schema: T.StructType) -> T.StructType:
@@ -62,20 +66,63 @@ def _widened(schema: T.StructType) -> T.StructType:
     )
 
 
+# Delimiters that are looked for, and the lines that are looked at.
+DELIMITERS = (",", ";", "\t", "|")
+HEAD = 1000
+# A doubled quote stands for one; no other escape.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def sniff(head: list[str]) -> tuple[str, bool]:
+    """(delimiter, whether a quoted field holds a line break) of the first lines of a file.
+
+    The delimiter is the one that cuts most lines into as many fields as the first line, more than one; a comma if none does.
+    """
+    records, open_quote, broken = [""], False, False
+    for line in head:
+        records[-1] += line if not open_quote else "\n" + line
+        open_quote ^= line.count('"') % 2 == 1
+        broken |= open_quote
+        if not open_quote:
+            records.append("")
+    bare = [re.sub(r'"(?:[^"]|"")*"', "", r) for r in records if r]
+
+    def fit(delimiter: str) -> tuple[int, int]:
+        counts = [r.count(delimiter) for r in bare]
+        return (sum(c == counts[0] for c in counts), counts[0]) if counts and counts[0] else (0, 0)
+
+    best = max(DELIMITERS, key=fit)
+    return (best if fit(best)[0] else ","), broken
+
+
 def read_csv(
-    spark: SparkSession, path: str, sample_size: int = -1, header: bool = True, delimiter: str = ",", folder: bool = False
+    spark: SparkSession,
+    path: str,
+    sample_size: int = -1,
+    header: bool = True,
+    delimiter: str | None = None,
+    folder: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """A CSV file with inferred types. A value that does not fit the type fails the job that reads it."""
+    """A CSV file with inferred types. A value that does not fit the type fails the job that reads it.
+
+    A file whose quoted fields hold line breaks is not split over tasks. If the first such field comes after the lines
+    looked at, pass `multi_line=True`. With line breaks in fields types are inferred from all rows, whatever `sample_size`.
+    """
     check_sample_size(sample_size)
     _check_path(spark, path, folder)
-    options = {"header": header, "sep": delimiter}
     try:
+        text = spark.read.text(path)
+        if delimiter is None or multi_line is None:
+            found, broken = sniff([row[0] for row in text.limit(HEAD).collect()])
+            delimiter, multi_line = delimiter or found, broken if multi_line is None else multi_line
+        options = {"header": header, "sep": delimiter, "multiLine": multi_line, **QUOTING}
         guess = spark.read.options(inferSchema=True, **options)
-        if sample_size == -1:
+        if sample_size == -1 or multi_line:
             schema = guess.csv(path).schema
         else:
-            head = spark.read.text(path).limit(sample_size + int(header))
+            head = text.limit(sample_size + int(header))
             schema = guess.csv(head.rdd.map(lambda row: row[0])).schema
         return spark.read.schema(_widened(schema)).options(mode="FAILFAST", **options).csv(path)
-    except PySparkException as error:
-        raise CsvReadError(f"failed to parse CSV: {error}") from error
+    except (PySparkException, Py4JJavaError) as error:
+        raise CsvReadError(f"not readable as CSV: {error}") from error

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.operators.logs import is_agent_message
 from lodestack.operators.metadata import job_states, latest
+from lodestack.sources.csv import QUOTING
 
 
 def _folder(path: str, batch: int) -> str:
@@ -23,10 +24,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def stream_csv_drops(
     spark: SparkSession, drops: str, schema: T.StructType, user: str, out: str, checkpoint: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """New CSV files are hashed; contents already in the catalog of `user` are only logged, others are typed and
-    written once. `out/files` is the catalog, `out/rows` holds the typed rows by file_id.
+    """New CSV files are hashed; contents not yet in the catalog of `user` are typed and written once, and every arrival is
+    logged. `out/files` is the catalog, `out/rows` holds the typed rows by file_id, `out/arrivals` the arrivals.
 
-    Files share one schema, have a header, and no line breaks inside fields.
+    Files share one schema and have a header. Rows are read by path, so only the digest needs a file as a whole.
     """
     source = (
         spark.readStream.format("binaryFile")
@@ -36,7 +37,6 @@ def stream_csv_drops(
         .load(drops)
     )
     catalog = f"{out}/files"
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def load(batch: DataFrame, number: int) -> None:
         arrived = batch.withColumn("file_hash", F.sha2("content", 256))
@@ -55,12 +55,17 @@ def stream_csv_drops(
             "file_hash",
             "file_size",
         )
-        lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
-        body = F.filter(F.slice(lines, 2, F.size(lines)), lambda line: line != "")
-        rows = arrived.select("path", F.explode(body).alias("line")).join(record.select("path", "file_id"), "path")
-        typed = rows.select("file_id", F.from_csv("line", columns, {"mode": "FAILFAST"}).alias("r"))
-        typed.select("file_id", "r.*").write.mode("overwrite").parquet(_folder(f"{out}/rows", number))
         record.write.mode("overwrite").parquet(_folder(catalog, number))
+        # What arrived under which name, known contents too: the latest arrival of a hash gives its current name.
+        seen = names.withColumn("user", F.lit(user)).withColumn("seen_at", F.current_timestamp())
+        seen.write.mode("overwrite").parquet(_folder(f"{out}/arrivals", number))
+        written = spark.read.schema(record.schema).parquet(_folder(catalog, number)).select("path", "file_id")
+        paths = [row.path for row in written.select("path").collect()]  # at most `files_per_batch`
+        if paths:
+            options = {"header": True, "mode": "FAILFAST", "multiLine": True, "enforceSchema": True, **QUOTING}
+            typed = spark.read.schema(schema).options(**options).csv(paths).select("*", F.col("_metadata.file_path").alias("_path"))
+            named = typed.join(written.withColumnRenamed("path", "_path"), "_path").select("file_id", *schema.names)
+            named.write.mode("overwrite").parquet(_folder(f"{out}/rows", number))
 
     return source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -90,21 +95,15 @@ def current_jobs(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_final_messages(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last agent message per run; only runs that changed are written."""
-    newest = F.max(F.struct("seq", "text")).alias("m")
-    messages = events.where(is_agent_message()).groupBy("run_id").agg(newest)
-    changed = messages.select("run_id", F.col("m.seq").alias("seq"), F.col("m.text").alias("final_message"))
+    """Appends each batch's last agent message per run; `current_final_messages` merges the batches on reading, so no state
+    is kept between them."""
 
     def load(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(_folder(out, number))
-
-    return (
-        changed.writeStream.outputMode("update")
-        .foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        newest = batch.where(is_agent_message()).groupBy("run_id").agg(F.max(F.struct("seq", "text")).alias("m"))
+        found = newest.select("run_id", F.col("m.seq").alias("seq"), F.col("m.text").alias("final_message"))
+        found.write.mode("overwrite").parquet(_folder(out, number))
+
+    return events.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_final_messages(spark: SparkSession, out: str) -> DataFrame:

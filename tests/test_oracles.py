@@ -16,10 +16,20 @@ def connection():
     return connect(SF_DIR)
 
 
+# Queries that SQL does not express, and the tests that hold them to hand-made or brute-force results.
+WITHOUT_ORACLE = {"make_chunks": "test_documents.py", "document_job": "test_documents.py"}
+# Queries that may find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     verdict, _, _ = compare(spark, connection, SF_DIR, name)
-    assert verdict.startswith("ok") or verdict == "EMPTY", verdict
+    assert verdict.startswith("ok") or (verdict == "EMPTY" and name in MAY_BE_EMPTY), verdict
+
+
+def test_only_listed_queries_have_no_oracle():
+    assert set(QUERIES) - set(ORACLES) == set(WITHOUT_ORACLE)
 
 
 def test_every_oracle_has_a_query():

@@ -10,10 +10,10 @@ from lodestack.operators.logs import check_response, extract_json
 from lodestack.operators.profile import dataset_column_stats, numeric_summary, profile_all, table_column_stats, top_values
 from lodestack.operators.sample import infer_sample_types, sample
 from lodestack.operators.search import search_terms
-from lodestack.operators.sql import run_readonly_sql, validate_sql
+from lodestack.operators.sql import open_database, run_readonly_sql, validate_sql
 from lodestack.operators.udf import run_grouped_function, verify_transform
 from lodestack.plans.csv_ingest import csv_to_parquet
-from lodestack.sources.csv import CsvJob, CsvReadError, read_csv
+from lodestack.sources.csv import CsvJob, CsvReadError, read_csv, sniff
 from lodestack.sources.tables import TableSet, find_dataset, list_datasets
 
 
@@ -33,11 +33,11 @@ def test_csv_to_parquet(spark, tmp_path):
 
 
 def test_csv_errors(spark, tmp_path):
-    with pytest.raises(CsvReadError, match="not found"):
+    with pytest.raises(CsvReadError, match="nothing to read"):
         read_csv(spark, str(tmp_path / "none.csv"))
-    with pytest.raises(CsvReadError, match="must be a .csv"):
+    with pytest.raises(CsvReadError, match="no .csv ending"):
         read_csv(spark, write(tmp_path / "a.txt", "x\n1\n"))
-    with pytest.raises(CsvReadError, match="not a file"):
+    with pytest.raises(CsvReadError, match="is a folder"):
         read_csv(spark, str(tmp_path))
     with pytest.raises(ValueError):
         CsvJob("a.csv", sample_size=0)
@@ -134,6 +134,45 @@ def test_sql_guard(spark, sql, risk):
             run_readonly_sql(spark, sql)
 
 
+def test_sql_reaches_one_database_only(spark, tmp_path):
+    for name, value in (("a", 1), ("b", 2)):
+        spark.range(value).write.parquet(f"{tmp_path}/{name}/orders.parquet")
+    sessions = [open_database(spark, f"{tmp_path}/{name}") for name in "ab"]
+    assert [run_readonly_sql(s, "SELECT count(*) AS n FROM orders").first().n for s in sessions] == [1, 2]
+    for sql in (
+        f"SELECT * FROM text.`{tmp_path}/a`",
+        f"SELECT (SELECT max(id) FROM parquet.`{tmp_path}/a/orders.parquet`)",
+        "SELECT reflect('java.lang.System', 'lineSeparator')",
+        "SELECT `java_method` ('java.lang.System', 'lineSeparator')",
+        "SELECT * FROM nothing",
+    ):
+        assert not validate_sql(sessions[0], sql)["is_valid"], sql
+    assert validate_sql(sessions[0], "SELECT 'reflect(' AS text FROM orders -- reflect()")["is_valid"]
+
+
+def test_csv_as_people_write_it(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('id;note;n\n1;"say ""hi; there"" now";2\n2;"two\nlines";3\n3;plain;4\n')
+    rows = read_csv(spark, str(path)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi; there" now', 2), (2, "two\nlines", 3), (3, "plain", 4)]
+    assert sniff(['a,"b', 'c",d', '1,"x;y;z",2']) == (",", True) and sniff(["a|b", "1|2"]) == ("|", False) and sniff([]) == (",", False)
+    with pytest.raises(CsvReadError, match="nothing to read"):
+        read_csv(spark, str(tmp_path / "none.csv"))
+
+
+def test_long_words_and_blanks_take_linear_time(spark):
+    from lodestack.functions.text import clean_markup, strip
+    from lodestack.operators.documents import normalized_text
+    from lodestack.operators.search import containing_words
+
+    word = "ab" * 50_000
+    found = containing_words(spark.createDataFrame([("abab",), ("bb",), ("ba" * 20,)], "needle string"), spark.createDataFrame([(word,)], "word string"))
+    assert sorted(r.needle for r in found.select("needle").collect()) == ["abab", "ba" * 20]
+    blanks = spark.createDataFrame([("x" + " " * 1_000_000 + "y",)], "text string")
+    row = blanks.select(F.length(strip(F.col("text"))).alias("a"), F.length(clean_markup(F.col("text"))).alias("b"), F.length(normalized_text(F.col("text"))).alias("c")).first()
+    assert tuple(row) == (1_000_002,) * 3
+
+
 def test_empty_sql(spark):
     with pytest.raises(ValueError, match="empty"):
         validate_sql(spark, "  ")

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators import catalog
-from lodestack.operators.sql import run_readonly_sql
-from lodestack.sources.tables import TableSet
+from lodestack.operators.sql import open_database, run_readonly_sql
 from workload.registry import query, table
 
 DB_SQL = """
@@ -245,8 +244,7 @@ GROUP BY o_orderstatus"""
 
 
 def _sql(spark, sf_dir, text: str) -> DataFrame:
-    TableSet.from_folder(spark, sf_dir, ["orders", "customer", "nation"]).register()
-    return run_readonly_sql(spark, text)
+    return run_readonly_sql(open_database(spark, sf_dir), text)
 
 
 @query(INNER)

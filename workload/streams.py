@@ -35,6 +35,16 @@ def csv_to_parquet(spark, sf_dir):
     return spark.read.parquet(done["output_path"])
 
 
+@query("SELECT doc_id, text, lang, source FROM documents")
+def csv_of_texts(spark, sf_dir):
+    """Texts with commas, quotes and line breaks, through a file with semicolons."""
+    folder = fresh_folder(spark, "csv-texts")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs.write.options(header=True, sep=";", quote='"', escape='"').csv(f"{folder}/documents.csv")
+    done = convert(spark, CsvJob(f"{folder}/documents.csv", folder=True, auto_cast_dates=False))
+    return spark.read.parquet(done["output_path"])
+
+
 @query("""SELECT c_custkey::VARCHAR AS key, c_name, c_acctbal FROM customer""")
 def snapshot(spark, sf_dir):
     path = write_snapshot(table(spark, sf_dir, "customer"), "c_custkey", fresh_folder(spark, "snapshot"))
@@ -92,6 +102,16 @@ def stream_csv_drops(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").drop("batch", "file_id")
 
 
+@query("SELECT doc_id, text FROM documents")
+def stream_csv_texts(spark, sf_dir):
+    """Dropped files whose quoted fields hold line breaks and quotes."""
+    drops, out, check = (fresh_folder(spark, n) for n in ("text-drops", "text-out", "text-check"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition(3).write.options(header=True, quote='"', escape='"').csv(drops)
+    st.stream_csv_drops(spark, drops, docs.schema, "u", out, check).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch", "file_id")
+
+
 def _stream(spark, sf_dir, name: str, files: int = 3):
     """The table as a stream of `files` files below the shared folder."""
     folder = fresh_folder(spark, name)
