@@ -20,23 +20,23 @@ def now():
 # Stored records are the customers; the new ones are made from the order lines of parts with the same numbers.
 def customer_files(spark, sf_dir) -> DataFrame:
     opened = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("updated_at"))
-    return table(spark, sf_dir, "customer").join(opened, F.col("c_custkey") == F.col("o_custkey")).select(
+    return table(spark, sf_dir, "customer").join(opened, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.col("c_custkey").alias("file_id"), F.col("c_name").alias("original_filename"), F.col("c_mktsegment").alias("business_context"), "created_at", "updated_at"
     )
 
 
 def part_files(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_shipdate").alias("created_at"), F.max("l_shipdate").alias("updated_at"))
-    return table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey")).select(
+    return table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left").select(
         F.col("p_partkey").alias("file_id"), F.col("p_name").alias("original_filename"), F.col("p_brand").alias("business_context"), "created_at", "updated_at"
     )
 
 
 UPSERT_SQL = f"""
 WITH o AS (SELECT c_custkey AS file_id, c_name AS original_filename, c_mktsegment AS business_context, min(o_orderdate) AS created_at,
-  max(o_orderdate) AS updated_at FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+  max(o_orderdate) AS updated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
 n AS (SELECT p_partkey AS file_id, p_name AS original_filename, p_brand AS business_context, min(l_shipdate) AS created_at,
-  {NOW} AS updated_at FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_name, p_brand)
+  {NOW} AS updated_at FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_name, p_brand)
 """
 
 

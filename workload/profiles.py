@@ -151,6 +151,15 @@ PROFILED = {
     " l_tax:double l_returnflag:string l_linestatus:string l_shipdate",
     "events": "event_id ts user_id event_type:string value:double props:string",
     "documents": "doc_id text:string lang:string source:string n_chars",
+    "region": "r_regionkey r_name:string",
+    "nation": "n_nationkey n_name:string n_regionkey",
+    "supplier": "s_suppkey s_name:string s_nationkey s_acctbal:double",
+    "part": "p_partkey p_name:string p_brand:string p_type:string p_size p_retailprice:double",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url:string html:string",
+    "benchmark": "item_id text:string",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role:string text:string",
 }
 PROFILED_COLUMNS = [(t, *(c.split(":") + [""])[:2]) for t, columns in PROFILED.items() for c in columns.split()]
 
@@ -241,9 +250,9 @@ def sample_types(spark, sf_dir):
 @query("""
 SELECT o_orderkey, o_orderdate::DATE AS o_orderdate, o_totalprice::DECIMAL(18,2) AS o_totalprice,
        min(l_shipdate)::DATE AS first_shipdate, max(l_shipdate)::TIMESTAMP AS shipped_at
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def cast_columns(spark, sf_dir):
-    text = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    text = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     grouped = text.groupBy("o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_totalprice").agg(
         F.min("l_shipdate").cast("string").alias("first_shipdate"), F.max("l_shipdate").cast("string").alias("shipped_at")
     )

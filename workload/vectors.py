@@ -113,9 +113,13 @@ COUNT_SQL = "((length({t}) - length(replace({t}, token, ''))) // length(token))"
 WITH q AS ({TURNS_SQL}), t AS ({TOKENS_SQL.format(scope='conv_id', queries='q')}),
 c AS (SELECT doc_id, chunk_order, lower(chunk) AS chunk FROM ({LINES_SQL}))
 SELECT query_id, doc_id, chunk_order, sum({COUNT_SQL.format(t='chunk')})::DOUBLE AS score
-FROM c JOIN t ON conv_id = doc_id AND contains(chunk, token) GROUP BY ALL""")
+FROM c JOIN t ON conv_id = doc_id % (SELECT max(conv_id) + 1 FROM conversations) AND contains(chunk, token) GROUP BY ALL""")
 def text_score(spark, sf_dir):
-    return se.text_hits(line_chunks(spark, sf_dir), user_turns(spark, sf_dir).withColumnRenamed("conv_id", "doc_id"))
+    """Every document is searched with the user turns of the conversation of its number, counted round."""
+    turns, docs = user_turns(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id")
+    count = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n")).first().n
+    asked = docs.withColumn("conv_id", F.col("doc_id") % count).join(turns, "conv_id").select("query_id", "doc_id", "query")
+    return se.text_hits(line_chunks(spark, sf_dir), asked)
 
 
 POSTINGS_SQL = r"""SELECT token, doc_id, count(*) AS n FROM (
@@ -138,13 +142,15 @@ def neighbor_chunks(spark, sf_dir):
     return se.neighbors(hits, chunks)
 
 
-# Whole documents as chunks of the collection their vector is labelled with; user turns search the collection of theirs.
+# Whole documents as chunks of the collection their vector is labelled with, or one by number without a vector; user turns
+# search the collection of theirs.
 COLLECTION_SQL = f"""
-WITH c AS (SELECT label, 'c' || vec_id AS chunk_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS chunk_order,
-  text AS chunk, embedding::DOUBLE[] AS vector FROM embeddings JOIN documents ON doc_id = vec_id),
+WITH members AS (SELECT coalesce(label, doc_id % 10)::INTEGER AS label, doc_id AS vec_id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+c AS (SELECT label, 'c' || vec_id AS chunk_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS chunk_order,
+  text AS chunk, embedding::DOUBLE[] AS vector FROM members),
 q AS (SELECT query_id, label, query, embedding::DOUBLE[] AS vector FROM ({TURNS_SQL}) JOIN embeddings ON vec_id = conv_id),
 v AS (SELECT query_id, label, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM (
-  SELECT query_id, q.label, chunk_id, list_cosine_similarity(q.vector, c.vector) AS score FROM q JOIN c ON c.label = q.label) QUALIFY r <= 5),
+  SELECT query_id, q.label, chunk_id, list_cosine_similarity(q.vector, c.vector) AS score FROM q JOIN c ON c.label = q.label AND c.vector IS NOT NULL) QUALIFY r <= 5),
 t AS ({TOKENS_SQL.format(scope='label', queries='q')}),
 l AS (SELECT label, chunk_id, lower(chunk) AS chunk FROM c),
 w AS (SELECT query_id, t.label, chunk_id, sum({COUNT_SQL.format(t='chunk')})::DOUBLE AS score
@@ -160,7 +166,7 @@ def collections(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     vectors = stored_vectors(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stored_id"), F.col("text").alias("chunk"))
     place = Window.partitionBy("label").orderBy("stored_id")
-    chunks = vectors.join(docs, "stored_id").select(
+    chunks = docs.join(vectors, "stored_id", "left").withColumn("label", F.coalesce("label", (F.col("stored_id") % 10).cast("int"))).select(
         "label",
         F.concat(F.lit("c"), F.col("stored_id").cast("string")).alias("chunk_id"),
         (F.row_number().over(place) - 1).alias("chunk_order"),
