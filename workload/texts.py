@@ -221,7 +221,48 @@ def apply_replacements(spark, sf_dir):
     return dc.apply_replacements(docs, items.withColumn("replacement", F.concat(F.lit("<pai>"), what, F.lit("</pai>"))))
 
 
-@query()
+# The chunker line by line: one recursion step per line over all documents at once. A close takes up to three places in a step.
+def _closed(source: str, when: str, force: str) -> str:
+    return f"""SELECT * EXCLUDE (go, chunks, more, n_pending, body, size, nw, nc, listing),
+ CASE WHEN NOT go OR len(body) = 0 THEN chunks WHEN nc < 50 AND len(chunks) > 0 AND more THEN chunks[1:len(chunks) - 1] || [chunks[len(chunks)] || body] ELSE chunks || [body] END AS chunks,
+ CASE WHEN go AND len(body) > 0 THEN true ELSE more END AS more, CASE WHEN go THEN 0 ELSE n_pending END AS n_pending, CASE WHEN go THEN []::INTEGER[] ELSE body END AS body,
+ CASE WHEN go THEN 0 ELSE size END AS size, CASE WHEN go THEN 0 ELSE nw END AS nw, CASE WHEN go THEN 0 ELSE nc END AS nc, NOT go AND listing AS listing
+ FROM (SELECT *, n_pending > 0 AND ({when}) AND NOT (len(body) > 0 AND nc < 50 AND NOT ({force})) AS go FROM ({source}))"""
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
+_BARE = r"regexp_replace(regexp_replace(regexp_replace({t}, '^#{{1,6}}\s+', ''), '^[•·\-*+]\s+', ''), '^\d+\.\s+', '')"
+FACTS_SQL = rf"""SELECT doc_id, line_no AS i, line, kind, length(b) AS sz, {_WORDS.format(t='b')} AS w, {_WORDS.format(t='bare')} AS cw, regexp_matches(line, '[.!?]$') AS ends,
+ coalesce(lead(regexp_matches(line, '^(?:\p{{Lu}}|[#\-•·*])')) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS next_opens, starts_with(line, '<p>') AS wrapped,
+ CASE WHEN kind = 'block' THEN line ELSE bare END AS bare
+ FROM (SELECT *, {_BARE.format(t='b')} AS bare FROM (SELECT *, CASE WHEN kind = 'heading' THEN trim(regexp_replace(line, '^#+', '')) ELSE line END AS b
+  FROM (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN contains(line, '<pai>') THEN 'block' WHEN starts_with(line, '#') THEN 'heading'
+   WHEN regexp_matches(line, '^(?:[-•·*]|\d+\.)\s+') THEN 'bullet' ELSE 'plain' END AS kind FROM lines)))"""
+_STEP = "SELECT s.*, f.* EXCLUDE (doc_id, i, line, bare), f.i AS here FROM s JOIN f ON f.doc_id = s.doc_id AND f.i = s.i + 1"
+_FIRST = _closed(_STEP, "kind IN ('block', 'heading', 'end') OR (kind IN ('plain', 'bullet') AND listing <> (kind = 'bullet'))", "kind NOT IN ('block', 'heading')")
+_LISTED = f"SELECT * REPLACE (CASE WHEN kind = 'bullet' THEN true ELSE listing END AS listing), kind IN ('plain', 'bullet') AND size > 0 AND size + sz <= 1000 AS fits FROM ({_FIRST})"
+_SECOND = _closed(_LISTED, "kind IN ('plain', 'bullet') AND size + sz > 1000 AND size >= 300", "true")
+_ADDED = f"""SELECT * REPLACE (CASE WHEN kind = 'block' THEN chunks || [[here]] ELSE chunks END AS chunks, CASE WHEN kind = 'block' THEN wrapped ELSE more END AS more,
+ n_pending + joins::INTEGER AS n_pending, CASE WHEN joins AND sz > 0 THEN body || [here] ELSE body END AS body,
+ CASE WHEN joins THEN size + sz ELSE size END AS size, CASE WHEN joins THEN nw + w ELSE nw END AS nw, CASE WHEN joins THEN nc + cw ELSE nc END AS nc)
+ FROM (SELECT *, kind IN ('heading', 'plain', 'bullet') AS joins FROM ({_SECOND}))"""
+_THIRD = _closed(_ADDED, "fits AND ends AND nw >= 50 AND next_opens", "false")
+CHUNKS_SQL = rf"""
+WITH RECURSIVE lines AS MATERIALIZED (@LINES), facts AS MATERIALIZED ({FACTS_SQL}),
+f AS MATERIALIZED (SELECT * FROM facts UNION ALL SELECT doc_id, (max(i) + 1)::INTEGER, '', 'end', 0, 0, 0, false, false, false, '' FROM facts GROUP BY doc_id),
+s AS (SELECT doc_id, (-1)::INTEGER AS i, []::INTEGER[][] AS chunks, false AS more, 0 AS n_pending, []::INTEGER[] AS body, 0::BIGINT AS size, 0::BIGINT AS nw, 0::BIGINT AS nc, false AS listing
+  FROM facts GROUP BY doc_id
+ UNION ALL SELECT doc_id, here, chunks, more, n_pending, body, size::BIGINT, nw::BIGINT, nc::BIGINT, listing FROM ({_THIRD})),
+done AS (SELECT s.doc_id, s.chunks FROM s JOIN f ON f.doc_id = s.doc_id AND f.i = s.i AND f.kind = 'end'),
+c AS (SELECT doc_id, (n - 1)::INTEGER AS chunk_no, chunks[n] AS numbers FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS n FROM done)),
+e AS (SELECT doc_id, chunk_no, len(numbers) AS many, k, numbers[k] AS i FROM (SELECT *, unnest(range(1, len(numbers) + 1)) AS k FROM c)),
+t AS (SELECT e.doc_id, chunk_no, any_value(many) AS many, bool_or(k = 1 AND kind = 'block') AS block, any_value(CASE WHEN k = 1 THEN bare END) AS lone,
+  string_agg(CASE WHEN k = 1 AND kind = 'block' THEN substring(bare, 4, length(bare) - 7) ELSE bare END, ' ' ORDER BY k) AS body
+  FROM e JOIN facts USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, chunk_no, CASE WHEN block AND many = 1 THEN lone ELSE '<p>' || trim(regexp_replace(body, '\s+', ' ', 'g')) || '</p>' END AS chunk FROM t"""
+
+
+@query(CHUNKS_SQL.replace("@LINES", PARAGRAPHS_SQL))
 def make_chunks(spark, sf_dir):
     chunked = ch.with_chunks(dc.dedupe_logos(dc.normalize_paragraphs(markdown(spark, sf_dir))))
     return chunked.select("doc_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
