@@ -39,6 +39,11 @@ RULES = {
 }
 
 
+def two_keys(first: str, second: str) -> ResponseRule:
+    """The rule of a response that needs two texts and nothing else."""
+    return ResponseRule(booleans=(), string_lists=(), required_texts=(first, second))
+
+
 def first_object(text: Column) -> Column:
     """From the first `{` to the `}` that balances it, counting braces blindly; null if there is none."""
     rest = F.substring(text, F.instr(text, "{"), F.length(text))

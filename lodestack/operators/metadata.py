@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.session import cut_lineage
+
 WAITING = ("new", "queued")
 
 
@@ -74,8 +76,16 @@ def align_chunks(records: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("
 
 
 def write_mappings(mappings: DataFrame, path: str) -> str:
-    """Partitioned by hash prefix; only the prefixes present in `mappings` are rewritten."""
+    """Loads mappings into the table at `path`, partitioned by hash prefix: only prefixes present in `mappings` are rewritten,
+    and their other rows stay."""
+    spark = mappings.sparkSession
     rows = mappings.withColumn("prefix", F.substring("input_file_hash", 1, 2))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        stored = spark.read.schema(rows.schema).parquet(path)
+        touched = stored.join(rows.select("prefix").distinct(), "prefix", "left_semi")
+        # Written elsewhere first, since the prefixes read are those that are replaced.
+        rows = cut_lineage(upsert_mappings(touched, rows))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
     return path
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.casts import with_file_id
 from lodestack.operators import metadata as md
+from lodestack.session import shared_folder
 from lodestack.sources.tables import list_datasets as listed
+from lodestack.sources.tables import read_dataset as find_and_read
 from workload.registry import query, table
 
 NOW = "TIMESTAMP '2030-01-01 00:00:00'"
@@ -64,6 +68,17 @@ def upsert_jobs_keep_started(spark, sf_dir):
     return md.upsert_jobs(customer_files(spark, sf_dir).withColumnsRenamed(JOBS), new, now(), keep_started=True)
 
 
+@query(UPSERT_SQL + """
+SELECT file_id AS job_id, CASE WHEN n.file_id IS NULL THEN o.original_filename ELSE n.original_filename END AS state,
+  CASE WHEN n.file_id IS NULL THEN o.business_context WHEN n.business_context < 'Brand#2' THEN n.business_context END AS started_at,
+  coalesce(o.created_at, n.created_at) AS created_at, coalesce(n.updated_at, o.updated_at) AS updated_at
+FROM o FULL JOIN n USING (file_id)""")
+def upsert_jobs_blank_started(spark, sf_dir):
+    new = part_files(spark, sf_dir).withColumnsRenamed(JOBS)
+    new = new.withColumn("started_at", F.when(F.col("started_at") < "Brand#2", F.col("started_at")))
+    return md.upsert_jobs(customer_files(spark, sf_dir).withColumnsRenamed(JOBS), new, now())
+
+
 @query(UPSERT_SQL + """
 SELECT file_id AS knowledge_id, original_filename AS query, created_at FROM n
 UNION ALL SELECT file_id, original_filename, created_at FROM o ANTI JOIN n USING (file_id)""")
@@ -91,6 +106,26 @@ def upsert_mappings(spark, sf_dir):
     return md.upsert_mappings(old, _mappings(table(spark, sf_dir, "pages"), "page_id", "html", "<p>"))
 
 
+@query(f"""
+WITH o AS ({MAPPING_SQL.format(k='doc_id', c='text', s='chr(10)', t='documents')}), n AS ({MAPPING_SQL.format(k='page_id', c='html', s="'<p>'", t='pages')})
+SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (input_file_hash, chunk_order)""")
+def load_mappings(spark, sf_dir):
+    """The table on disk after a first load and a second one that shares hash prefixes with it."""
+    path = f"{shared_folder(spark)}/mappings-{uuid.uuid4().hex}"
+    md.write_mappings(_mappings(table(spark, sf_dir, "documents"), "doc_id", "text", "\n"), path)
+    md.write_mappings(_mappings(table(spark, sf_dir, "pages"), "page_id", "html", "<p>"), path)
+    return spark.read.parquet(path).drop("prefix")
+
+
+@query("SELECT * FROM part")
+def read_dataset(spark, sf_dir):
+    """An artifact of a user looked up in the catalog; another user has a file of the same id."""
+    path = f"{shared_folder(spark)}/artifact-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").write.parquet(path)
+    catalog = spark.createDataFrame([("f1", "a", "sql", "part", path), ("f1", "b", "sql", "other", f"{path}-other")], "file_id string, user string, file_type string, original_filename string, artifact_path string")
+    return find_and_read(catalog, "f1", "a")
+
+
 @query("SELECT doc_id, sha256(text) AS file_hash FROM documents")
 def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
