@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.llm import oracles
 from lodestack.llm.bpe import encode_documents
 from lodestack.llm.dualtree import exact_top_k
 from lodestack.llm.langid import identify
@@ -63,4 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_sharding, op4_suffix_arrays, op5_byte_bpe, op6_dual_tree, op7_permutation_index, op8_lines, op9_language, op10_mixing)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_minhash": oracles.MINHASH,
+    "op4_suffix_arrays": oracles.SUBSTRINGS,
+    "op6_dual_tree": oracles.DUAL_TREE,
+    "op8_lines": oracles.LINES,
+    "op10_mixing": oracles.MIXING,
+}

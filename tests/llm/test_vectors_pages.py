@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ import corpus_pipeline
 from lodestack.llm.dualtree import Search, cover_tree, exact_top_k
 from lodestack.llm.langid import identify
 from lodestack.llm.permutation import approximate_top_k
-from lodestack.llm.queries import QUERIES
+from lodestack.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -171,5 +172,19 @@ def test_pipeline_stages(spark, scratch):
     assert corpus_pipeline.run(spark, SMALL).count() == counts[4]
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracles(spark, name):
+    """The registered query gives the rows of its SQL on the smallest tables."""
+    connection = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    want = connection.execute(ORACLES[name]).to_arrow_table()
+    got = QUERIES[name](spark, SMALL).toArrow()
+    names = sorted(want.column_names)
+    assert names == sorted(got.column_names) and want.num_rows == got.num_rows > 0
+    rows = [sorted(zip(*[t[c].to_pylist() for c in names]), key=repr) for t in (got, want)]
+    assert rows[0] == rows[1]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
