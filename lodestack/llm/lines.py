@@ -3,12 +3,13 @@
 A line is the set of its distinct lower-cased words. Words are put in one order over all texts, rare ones first: rarity is a
 count by hashed bucket, in a table of fixed size, with the word's hash deciding among equals. Two sets that reach the
 threshold then share a word among the first few of each (prefix filter), are of similar size (length filter), and enough
-words are left from the shared place on (positional filter). Candidates that pass are confirmed on their full sets.
+words are left from the shared place on (positional filter). A sketch of 64 bits, 256 for long lines, that changes by one
+bit per word bounds how much two sets differ, inside the same join. Candidates that pass are confirmed on their full sets.
 
 Equal sets are folded first: only the first line of a set is compared. A line goes when an earlier one matches it, so one
-match is enough: every set first meets the earliest set under each of its prefix words, and only sets that found no match
-are compared with all earlier ones. Prefix words that no other line has are left out before anything is exchanged, and
-full sets are read again from the texts for candidates alone.
+match is enough: under prefix words with many lines every set first meets the earliest one, and sets that found a match
+there are not compared again. Prefix words that no other line has are left out before anything is exchanged, and full sets
+are read again from the texts for candidates alone.
 """
 
 from __future__ import annotations
@@ -25,8 +26,15 @@ from lodestack.llm.filters import bit_filter, passes
 from lodestack.llm.words import LOWER, WORDS, byte_view, mixed, slices, span_hashes, token_spans
 
 PERCENT = 80
-RARITY_BITS = 18
+RARITY_BITS = 16
+#: Words from which a line has the wide sketch too.
+LONG = 100
+#: Lines under one prefix word beyond which they meet the earliest of them first; it only spares comparisons.
+CROWDED = 1000
+#: Added to the place of a word that may be crowded.
+MARK = 1 << 24
 FILTER_BITS = 24
+CROWDED_BITS = 20
 
 _U = np.uint64
 _LINE = _U(0xC2B2AE3D27D4EB4F)
@@ -81,35 +89,55 @@ def word_rarity(texts: DataFrame) -> np.ndarray:
     return table
 
 
-def _prefix_words(shipped, percent: int):
+def _keys(words: np.ndarray) -> np.ndarray:
+    """Half of a word's hash, as the key that candidates meet under; two words with one key only cost a comparison."""
+    return (words >> _U(32)).astype(np.uint32).view(np.int32)
+
+
+def _prefix_keys(shipped, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             _, _, begin, words = line_words(batch.column(0), shipped.value)
             n = np.diff(begin)
             take = np.arange(len(words)) - np.repeat(begin[:-1], n) < np.repeat(prefix_sizes(n, percent), n)
-            yield pa.RecordBatch.from_arrays([_long(words[take])], names=["word"])
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(words[take]), pa.int32())], names=["word"])
 
     return run
 
 
+def _sketches(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Four times 64 bits per set, each turned by the words that fall on it: sets that differ in d words differ in at most
+    d bits, and so do the four parts laid over each other."""
+    if len(begin) < 2:
+        return np.zeros((0, 4), _U)
+    bits, part = _U(1) << (words >> _U(20) & _U(63)), words >> _U(26) & _U(3)
+    return np.stack([np.bitwise_xor.reduceat(np.where(part == k, bits, _U(0)), begin[:-1]) for k in range(4)], axis=1)
+
+
 def _lines(shipped, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, shared = shipped.value
+        rarity, shared, crowded = shipped.value
         for batch in slices(batches, "text", 1 << 20):
             row, line, begin, words = line_words(batch.column(0), rarity)
             n = np.diff(begin)
             place = np.arange(len(words)) - np.repeat(begin[:-1], n)
             take = place < np.repeat(prefix_sizes(n, percent), n)
-            take[take] = passes(shared, words[take])
+            keys = _keys(words[take])
+            take[take] = passes(shared, mixed(keys.view(np.uint32)))
+            kept = _keys(words[take])
+            at = place[take] + MARK * passes(crowded, mixed(kept.view(np.uint32)))
             cuts = pa.array(np.concatenate([[0], np.cumsum(take)])[begin], pa.int32())
             r = np.array(batch.column(1), np.int64)[row]
+            sketches = _sketches(words, begin)
+            long = n >= LONG
+            wide = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long * 4)]), pa.int32()), _long(sketches[long].ravel()))
             sums = [np.add.reduceat(x, begin[:-1]) if len(n) else x[:0] for x in (words, mixed(words ^ _LINE))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(2).take(pa.array(row)), _long(r), pa.array(line, pa.int64()), _long(places(r, line)), _long(sums[0]), _long(sums[1]), pa.array(n, pa.int64()),
-                    pa.ListArray.from_arrays(cuts, _long(words[take])), pa.ListArray.from_arrays(cuts, pa.array(place[take], pa.int64())),
+                    batch.column(2).take(pa.array(row)), _long(r), pa.array(line, pa.int32()), _long(sums[0]), _long(sums[1]), pa.array(n, pa.int32()), _long(np.bitwise_xor.reduce(sketches, axis=1)), wide,
+                    pa.ListArray.from_arrays(cuts, pa.array(kept, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(at, pa.int32())),
                 ],
-                names=["doc_id", "r", "line", "o", "name", "check", "n", "words", "at"],
+                names=["doc_id", "r", "line", "name", "check", "n", "sketch", "wide", "words", "at"],
             )
 
     return run
@@ -119,15 +147,26 @@ def _full_sets(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             row, line, begin, words = line_words(batch.column(0), None)  # by hash within a line
-            o = places(np.array(batch.column(1), np.int64)[row], line)
-            keep = passes(shipped.value, o)
+            r = np.array(batch.column(1), np.int64)[row]
+            keep = passes(shipped.value, places(r, line))
             n = np.diff(begin)
             cuts = pa.array(np.concatenate([[0], np.cumsum(n[keep])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([_long(o[keep]), pa.ListArray.from_arrays(cuts, _long(words[np.repeat(keep, n)]))], names=["o", "words"])
+            yield pa.RecordBatch.from_arrays([_long(r[keep]), pa.array(line[keep], pa.int32()), pa.ListArray.from_arrays(cuts, _long(words[np.repeat(keep, n)]))], names=["r", "line", "words"])
 
     return run
 
 
+def _mixed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([_long(mixed(np.array(batch.column(0), np.int32).view(np.uint32)))], names=["p"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        o = places(np.array(batch.column(0), np.int64), np.array(batch.column(1), np.int64))
+        yield pa.RecordBatch.from_arrays([_long(o)], names=["o"])
+
+
 def _matching(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,62 +183,81 @@ def _matching(percent: int):
 
 
 def _could_match(percent: int) -> Column:
-    """Length and positional filter for x and the earlier y that share a prefix word."""
+    """Length filter, positional filter on the shared place, and the fewest words by which the sketches say the sets differ."""
     n_x, n_y = F.col("x.n"), F.col("y.n")
-    fits = (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent) & (F.col("y.first") < F.col("x.first"))
-    left = F.least(n_x - F.col("x.at"), n_y - F.col("y.at"))
-    return fits & (left * (100 + percent) >= (n_x + n_y) * percent)
+    sizes = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
+    left = F.least(n_x - F.col("x.at"), n_y - F.col("y.at")) * (100 + percent) >= (n_x + n_y) * percent
+    differ = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+    parts = [F.bit_count(F.get(F.col("x.wide"), F.lit(k)).bitwiseXOR(F.get(F.col("y.wide"), F.lit(k)))) for k in range(4)]
+    differ = F.greatest(differ, F.coalesce(parts[0] + parts[1] + parts[2] + parts[3], F.lit(0)))  # null unless both are long
+    return (F.col("x.name") != F.col("y.name")) & sizes & left & ((n_x + n_y - differ) * (100 + percent) >= 2 * percent * (n_x + n_y))
 
 
 def lines_to_keep(texts: DataFrame, scratch, percent: int) -> DataFrame:
     """(r, line) of the lines with words that stay; texts has text, r and doc_id."""
     context = texts.sparkSession.sparkContext
-    rarity = word_rarity(texts)
+    rarity = context.broadcast(word_rarity(texts))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    words = texts.select("text").mapInArrow(_prefix_words(context.broadcast(rarity), percent), "word bigint")
-    shared = bit_filter(words.groupBy("word").agg(F.count("*").alias("t")).where("t > 1"), F.col("word"), FILTER_BITS)
-    schema = f"doc_id {kind}, r bigint, line bigint, o bigint, name bigint, `check` bigint, n bigint, words array<bigint>, at array<bigint>"
-    lines = texts.select("text", "r", "doc_id").mapInArrow(_lines(context.broadcast((rarity, shared)), percent), schema)
-    folded = lines.groupBy("name", "check").agg(F.min(F.struct("doc_id", "r", "line", "o", "n", "words", "at")).alias("s"))
+    counts = scratch.put(texts.select("text").mapInArrow(_prefix_keys(rarity, percent), "word int").groupBy("word").agg(F.count("*").alias("t")).where("t > 1"))
+    shared = bit_filter(counts.select("word").mapInArrow(_mixed_keys, "p bigint"), F.col("p"), FILTER_BITS)
+    crowded = bit_filter(counts.where(F.col("t") > CROWDED).select("word").mapInArrow(_mixed_keys, "p bigint"), F.col("p"), CROWDED_BITS)
+    schema = f"doc_id {kind}, r bigint, line int, name bigint, `check` bigint, n int, sketch bigint, wide array<bigint>, words array<int>, at array<int>"
+    lines = texts.select("text", "r", "doc_id").mapInArrow(_lines(context.broadcast((rarity.value, shared, crowded)), percent), schema)
+    folded = lines.groupBy("name", "check").agg(F.min(F.struct("doc_id", "r", "line", "n", "sketch", "wide", "words", "at")).alias("s"))
     sets = scratch.put(folded.select("name", "s.*"))
-    posted = sets.select("name", "n", F.struct("doc_id", "r", "line").alias("first"), F.explode(F.arrays_zip("words", "at")).alias("w")).select("name", "n", "first", F.col("w.words").alias("word"), F.col("w.at").alias("at"))
-    posted = scratch.put(posted)
-    earliest = posted.groupBy("word").agg(F.min(F.struct("first", "name", "n", "at")).alias("y"), F.count("*").alias("t")).where("t > 1")
-    earliest = scratch.put(earliest.select("word", "y.*"))
+    orders = sets.select("name", F.struct("doc_id", "r", "line").alias("first"))
+
+    def posted(df: DataFrame, *more: str) -> DataFrame:
+        rows = df.select("name", "n", "sketch", "wide", *more, F.explode(F.arrays_zip("words", "at")).alias("w"))
+        return rows.select(F.col("w.words").alias("word"), "name", "n", (F.col("w.at") % MARK).alias("at"), "sketch", "wide", *more, (F.col("w.at") >= MARK).alias("crowded"))
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """The names x of the pairs (x, y) that reach the threshold."""
-        pairs = scratch.put(pairs.distinct())
+        """The names x of the pairs (x, y) in which y comes first and that reach the threshold."""
+        ordered = pairs.distinct().join(orders.select(F.col("name").alias("x"), F.col("first").alias("first_x")), "x").join(orders.select(F.col("name").alias("y"), F.col("first").alias("first_y")), "y")
+        pairs = scratch.put(ordered.where("first_y < first_x").select("x", "y"))
         ends = pairs.select(F.col("x").alias("name")).unionByName(pairs.select(F.col("y").alias("name"))).distinct()
-        wanted = scratch.put(sets.select("name", "o").join(ends, "name"))
-        read = texts.select("text", "r").mapInArrow(_full_sets(context.broadcast(bit_filter(wanted, F.col("o"), FILTER_BITS))), "o bigint, words array<bigint>")
+        wanted = scratch.put(sets.select("name", "r", "line").join(ends, "name"))
+        chosen = bit_filter(wanted.select("r", "line").mapInArrow(_placed, "o bigint"), F.col("o"), FILTER_BITS)
+        read = texts.select("text", "r").mapInArrow(_full_sets(context.broadcast(chosen)), "r bigint, line int, words array<bigint>")
         # rows that are equal in every column name their lines alike
-        full = scratch.put(wanted.join(read, "o").dropDuplicates(["name"]).select("name", "words"))
+        full = scratch.put(wanted.join(read, ["r", "line"]).dropDuplicates(["name"]).select("name", "words"))
         x = pairs.join(full.select(F.col("name").alias("x"), F.col("words").alias("words_x")), "x")
         both = x.join(full.select(F.col("name").alias("y"), F.col("words").alias("words_y")), "y").select("x", "words_x", "words_y")
-        return scratch.put(both.mapInArrow(_matching(percent), "x bigint").distinct())
+        found = scratch.put(both.mapInArrow(_matching(percent), "x bigint").distinct())
+        scratch.drop(pairs, wanted, full)
+        return found
 
-    star = posted.alias("x").join(earliest.alias("y"), F.col("x.word") == F.col("y.word")).where(_could_match(percent))
+    rows = scratch.put(posted(sets.select("name", "n", "sketch", "wide", "words", "at", F.struct("doc_id", "r", "line").alias("first")), "first").where("crowded"))
+    earliest = scratch.put(rows.groupBy("word").agg(F.min(F.struct("first", "name", "n", "at", "sketch", "wide")).alias("y")).select("word", "y.*"))
+    star = rows.alias("x").join(earliest.alias("y"), F.col("x.word") == F.col("y.word")).where(_could_match(percent))
     gone = matched(star.select(F.col("x.name").alias("x"), F.col("y.name").alias("y")))
-    open_sets = scratch.put(posted.join(earliest.select("word"), "word").join(gone, posted["name"] == gone["x"], "left_anti"))
-    pairs = open_sets.alias("x").join(posted.alias("y"), F.col("x.word") == F.col("y.word")).where(_could_match(percent))
+    scratch.drop(rows, earliest, counts)
+
+    # one frame on both sides, so that it is exchanged once
+    marked = posted(sets.join(gone, sets["name"] == gone["x"], "left").select("name", "n", "sketch", "wide", "words", "at", F.isnull("x").cast("tinyint").alias("open")), "open").drop("crowded")
+    pairs = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("x.open = 1").where(_could_match(percent))
     late = matched(pairs.select(F.col("x.name").alias("x"), F.col("y.name").alias("y")))
     all_gone = gone.unionByName(late)
     return sets.join(all_gone, sets["name"] == all_gone["x"], "left_anti").select("r", "line")
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rebuilt(place: int):
+    """`place` is where the text stands in the row."""
     blank = bytes([0x20, *range(0x09, 0x0E)])
-    for batch in slices(batches, "text"):
-        out = []
-        for text, keep in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            lines, keep = (text or "").split("\n"), set(keep or ())
-            left = [line for n, line in enumerate(lines) if n in keep or not line.encode().strip(blank)]
-            kept = "\n".join(left)
-            out.append((None if text is None else kept, 0 if text is None else len(lines), len(lines) - len(left), hashlib.sha256(kept.encode()).hexdigest()))
-        columns = list(zip(*out)) or [[]] * 4
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=["row", "kept_text", "n_lines", "n_removed", "kept_sha256"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, keep in zip(batch.column(0).field(place).to_pylist(), batch.column(1).to_pylist()):
+                lines, keep = (text or "").split("\n"), set(keep or ())
+                left = [line for n, line in enumerate(lines) if n in keep or not line.encode().strip(blank)]
+                kept = "\n".join(left)
+                out.append((None if text is None else kept, 0 if text is None else len(lines), len(lines) - len(left), hashlib.sha256(kept.encode()).hexdigest()))
+            columns = list(zip(*out)) or [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=["row", "kept_text", "n_lines", "n_removed", "kept_sha256"])
+
+    return run
 
 
 def dedupe_lines(docs: DataFrame, scratch, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,5 +275,5 @@ def dedupe_lines(docs: DataFrame, scratch, percent: int = PERCENT, doc_id: str =
     texts = rows.where("text is not null").select("text", "r", "doc_id")
     keep = scratch.put(lines_to_keep(texts, scratch, percent).groupBy("r").agg(F.collect_set("line").alias("keep")))
     row_type = rows.schema["row"].dataType.simpleString()
-    joined = rows.select("row", "text", "r").join(keep, "r", "left").select("row", "text", "keep")
-    return joined.mapInArrow(_rebuilt, f"row {row_type}, kept_text string, n_lines bigint, n_removed bigint, kept_sha256 string")
+    joined = rows.select("row", "r").join(keep, "r", "left").select("row", "keep")
+    return joined.mapInArrow(_rebuilt(docs.columns.index(text)), f"row {row_type}, kept_text string, n_lines bigint, n_removed bigint, kept_sha256 string")
