@@ -1,4 +1,5 @@
 import pytest
+from sample_words import words
 
 from lodestack.llm.tables import Scratch
 
@@ -22,13 +23,6 @@ def make_docs(spark):
     return make
 
 
-def words(seed, n, vocabulary=400):
-    import random
-
-    draw = random.Random(seed)
-    return [f"w{draw.randrange(vocabulary)}" for _ in range(n)]
-
-
 @pytest.fixture
 def odd_rows():
     """Nulls, empty and blank texts, one word, ties, repeated rows and a long text."""

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
-from conftest import words
+from sample_words import words
 
 from lodestack.llm.bpe import Codec, build_model, encode_documents, read_ranks
 from lodestack.llm.components import components
