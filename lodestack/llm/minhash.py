@@ -3,12 +3,13 @@
 A document's set is its distinct shingles of five lower-cased words. Of 128 minima per set, groups of four make 32 band
 keys, and the two low bits of each minimum are packed into 256 bits. Sets that share a band key are candidates; the number
 of agreeing two-bit fields estimates their similarity, corrected for the quarter that agree by chance. What passes, with a
-margin of more than five standard errors below the threshold, is confirmed on the full sets. At a similarity of 0.75 a
-pair shares no band with a chance of about 5e-6.
+margin of more than five standard errors below the threshold, and is not ruled out by a sketch that bounds how much two sets
+differ, is confirmed on the full sets. At a similarity of 0.75 a pair shares no band with a chance of about 5e-6.
 
 Copies are folded before anything else, so a set is handled once however often it occurs. Pairs of a band are not all
-formed: first every member meets the band's smallest one, and confirmed links are joined into components; then only members
-of bands that still hold several components are compared across components, behind the bit-count test inside the join.
+formed: in each of a few rounds every member meets one drawn member of another component, and confirmed links join
+components; then members of bands that still hold several components are all compared across components, behind the
+bit-count test inside the join. Rounds only spare comparisons, so their number does not change the result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ BAND = 4
 BITS = 2
 #: Candidates whose estimate is below go; the estimate's standard error is 0.046 at 0.75.
 ESTIMATE = 0.5
+#: Bits of a sketch in which each shingle turns one bit: two sets differ in at least as many shingles as their sketches in bits.
+PARITY = 1024
+#: Most rounds of drawn partners, and the number of links under which no further round is worth its jobs.
+STARS = 5
+FEW = 200
 #: Size of the filter that keeps texts without candidates out of the exchange.
 FILTER_BITS = 22
 
@@ -72,6 +78,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.zeros((len(size), MINIMA * BITS // 64), _U)
         keys = np.zeros((len(size), MINIMA // BAND), _U)
         names = np.zeros((len(size), 2), _U)
+        parity = np.zeros((len(size), PARITY // 64), _U)
         if len(full):
             starts = first[:-1][full]
             high = (sets >> _U(32)).astype(np.uint32)
@@ -80,6 +87,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 packed[full, i * BITS // 64] |= (least & _U(3)) << _U(i * BITS % 64)
                 keys[full, i // BAND] += least * _BANDS[i % BAND]
             keys[full] = mixed(keys[full] + np.arange(keys.shape[1], dtype=_U) * _U(0x9E3779B97F4A7C15))
+            turned = np.bincount(np.repeat(np.arange(len(size)), size) * PARITY + (sets >> _U(8) & _U(PARITY - 1)).astype(np.int64), minlength=len(size) * PARITY)
+            parity = np.packbits((turned & 1).astype(np.uint8).reshape(-1, 64), axis=1).view(_U).reshape(len(size), -1)
             names[full, 0] = np.add.reduceat(sets, starts)
             names[full, 1] = np.add.reduceat(mixed(sets ^ _U(0x5851F42D4C957F2D)), starts)
 
@@ -88,14 +97,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), flat)
 
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), lists(names), lists(packed), lists(keys)], names=["doc_id", "n_shingles", "name", "bits", "bands"]
+            [batch.column(0), pa.array(size, pa.int64()), lists(names), lists(packed), lists(keys), lists(parity)], names=["doc_id", "n_shingles", "name", "bits", "bands", "parity"]
         )
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, name (128 bits that stand for the set), bits (packed signature), bands (keys)."""
+    """doc_id, n_shingles, name (128 bits that stand for the set), bits (packed signature), bands (keys), parity."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles bigint, name array<bigint>, bits array<bigint>, bands array<bigint>"
+    schema = f"doc_id {kind}, n_shingles bigint, name array<bigint>, bits array<bigint>, bands array<bigint>, parity array<bigint>"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_signatures, schema)
 
 
@@ -109,6 +118,14 @@ def estimate(a: F.Column, b: F.Column) -> F.Column:
     return (1 - differ / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
+def _differ_little(n_a: F.Column, n_b: F.Column, a: F.Column, b: F.Column) -> F.Column:
+    """False only where the sketches prove that the sets differ in over a seventh of both sizes, and so cannot be linked."""
+    bits = F.lit(0)
+    for i in range(PARITY // 64):
+        bits = bits + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return bits * 7 <= n_a + n_b
+
+
 def _sizes_fit(a: F.Column, b: F.Column) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * 75
 
@@ -156,38 +173,57 @@ def near_duplicates(docs: DataFrame, scratch, doc_id: str = "doc_id", text: str
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = scratch.put(signatures(docs))
-    folded = signed.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("s"))
-    sets = scratch.put(folded.select("name", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.bits", "s.bands"))
+    folded = signed.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands", "parity")).alias("s"))
+    sets = scratch.put(folded.select("name", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.bits", "s.bands", "s.parity"))
 
     postings = sets.select("id", F.explode("bands").alias("key"))
-    shared = scratch.put(postings.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("m")).where("members > 1"))
-    posted = scratch.put(postings.join(shared, "key").select("key", "id", "m"))
-    texts = _texts_of(docs, posted.select("id").distinct(), scratch)
+    shared = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    posted = scratch.put(postings.join(scratch.put(shared), "key"))
+    labels = scratch.put(posted.select("id").distinct().withColumn("c", F.col("id")))
+    texts = _texts_of(docs, labels.select("id"), scratch)
 
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("parity").alias("parity_a"))
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("parity").alias("parity_b"))
     likely = _sizes_fit(F.col("n_a"), F.col("n_b")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= ESTIMATE)
-
-    met = posted.where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct().join(one, "a").join(two, "b").where(likely)
-    links = scratch.put(_confirmed(scratch.put(met.select("a", "b")), texts, kind))
-    found = scratch.put(components(links, scratch))
-
-    named = posted.join(found, posted["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = scratch.put(named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"))
-    rest = scratch.put(named.join(open_keys, "key").join(sets.select("id", "n", "bits"), "id"))
-    left = rest.select("key", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    likely = likely & _differ_little(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"))
+
+    def open_members() -> DataFrame:
+        """(key, id, c) of the bands that hold several components."""
+        named = posted.join(labels, "id")
+        several = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        return scratch.put(named.join(scratch.put(several), "key").select("key", "id", "c"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        met = pairs.distinct().join(one, "a").join(two, "b").where(likely).select("a", "b")
+        return scratch.put(_confirmed(scratch.put(met), texts, kind))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The labels once components that a link connects are one."""
+        ends = links.join(labels, links["a"] == labels["id"]).select(F.col("c").alias("a"), "b")
+        ends = ends.join(labels, ends["b"] == labels["id"]).select("a", F.col("c").alias("b"))
+        merged = components(ends, scratch).select(F.col("node").alias("c"), F.col("component").alias("top"))
+        return scratch.put(labels.join(merged, "c", "left").select("id", F.coalesce("top", "c").alias("c")))
+
+    members = open_members()
+    for n in range(STARS):
+        drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(n)).alias("draw"), "id", "c")).alias("s"))
+        drawn = scratch.put(drawn.select("key", F.col("s.id").alias("b"), F.col("s.c").alias("other")))
+        links = confirmed(members.join(drawn, "key").where("c <> other").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")))
+        scratch.drop(members)
+        labels = joined(links)
+        members = open_members()
+        if links.count() < FEW:
+            break
+
+    rest = members.join(sets.select("id", "n", "bits", "parity"), "id")
+    left = rest.select("key", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("parity").alias("parity_a"))
+    right = rest.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("parity").alias("parity_b"))
     crossing = left.join(right, (left["key"] == right["key"]) & (F.col("c_a") < F.col("c_b")) & likely).select("a", "b").distinct()
-    more = scratch.put(_confirmed(scratch.put(crossing), texts, kind))
-
-    names = found.select("node", "component")
-    bridges = more.join(names, more["a"] == names["node"], "left").select(F.coalesce("component", "a").alias("a"), "b")
-    bridges = bridges.join(names, bridges["b"] == names["node"], "left").select("a", F.coalesce("component", "b").alias("b"))
-    merged = components(bridges, scratch).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    labels = joined(scratch.put(_confirmed(scratch.put(crossing), texts, kind)))
 
-    labels = sets.select("name", "id").join(names, F.col("id") == F.col("node"), "left").select("name", F.coalesce("component", "id").alias("c"))
-    labels = scratch.put(labels.join(merged, "c", "left").select("name", F.coalesce("top", "c").alias("component_id")))
-    scratch.drop(shared, posted, texts, rest, open_keys)
+    found = sets.select("name", "id").join(labels, "id", "left")
+    labels = scratch.put(found.select("name", F.coalesce("c", "id").alias("component_id")))
+    scratch.drop(posted, texts, members)
     slim = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).alias("name"))
     return slim.join(labels, "name", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
