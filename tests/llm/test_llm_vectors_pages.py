@@ -104,6 +104,21 @@ def test_permutation_index_with_few_and_odd_rows(spark):
     assert approximate_top_k(frame(spark, []), every()).count() == 0
 
 
+def test_permutation_index_with_a_third_of_copies(spark):
+    """Copies near a query are found by the smallest ids; for other queries they take no place of nearer rows."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[draw.permutation(3000)[:1000]] = x[0]
+    rows = rows_of(x)
+    got, want = found(approximate_top_k(frame(spark, rows), every(), k=20)), brute(rows, 20, False, True)
+    copies = {i for i, v, *_ in rows if v == rows[0][1]}
+    same = [q for q in got if q in copies]
+    assert len(same) > 100 and all([i for i, _ in got[q]] == sorted(copies - {q})[:20] for q in same)
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]
+    assert sum(hits) >= 0.9 * 20 * len(want)
+
+
 def test_recall_on_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = found(approximate_top_k(table, F.col("id") % 20 == 0, k=20))
