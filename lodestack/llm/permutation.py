@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Pivots are a bounded sample of the rows, those with the smallest
-hashed ids; every row is indexed. In each block of rows a pivot's inverted file lists the rows that have it among their
+A vector is represented by its nearest pivots in order. Pivots are a bounded sample of the rows of each width, those
+with the smallest hashed ids; every row is indexed. In each block of rows a pivot's inverted file lists the rows that have it among their
 nearest, with its place there. For a query the files of its own nearest pivots are read; a row's footrule distance, with a
 missing pivot counted as last, is a constant less twice the sum of (kept - the later of both places) over common pivots. The
 rows with the smallest distance are ranked again by inner product on the original vectors. Copies of a vector are indexed once
@@ -11,12 +11,14 @@ per block and all stand behind it, so copies neither crowd out other rows nor ar
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.vectors import best_in_blocks, matrix, usable
 
 PIVOTS = 256
+#: With fewer pivots the order says too little, and all rows of the width are ranked again.
+LEAST_PIVOTS = 64
 KEPT = 64
 #: Share of a block that is ranked again, and the least number of rows.
 RERANKED = 0.15
@@ -80,6 +82,15 @@ def inner_products(columns: np.ndarray, rows: np.ndarray, query: np.ndarray) ->
     return out
 
 
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """(d, v) of at most `most` rows of each width; ids are put in order before any vector is moved."""
+    hashed = rows.select("d", F.struct(F.xxhash64("id").alias("h"), "id").alias("at"), "v")
+    n = F.row_number().over(Window.partitionBy("d").orderBy("at"))
+    last = hashed.select("d", "at").withColumn("n", n).where(F.col("n") <= most).groupBy("d").agg(F.max("at").alias("last"))
+    near = hashed.join(F.broadcast(last), "d").where(F.col("at") <= F.col("last"))
+    return near.withColumn("n", n).where(F.col("n") <= most).select("d", "v")  # an id can have many rows
+
+
 def approximate_top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
     pivots: int = PIVOTS, kept: int = KEPT, reranked: float = RERANKED, block: int = BLOCK, group: int = GROUP,
@@ -93,16 +104,17 @@ def approximate_top_k(
     recall at 20 on unrelated directions of width 64 is above 0.95; tests hold it above 0.9.
     """
     rows = usable(vectors, vec_id, vector).where(F.exists("v", lambda x: x != 0))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
+    sample = sampled(rows, pivots).toArrow()
     by_width: dict[int, np.ndarray] = {}
-    for width in set(sample["d"].to_pylist()):
-        x = matrix(sample.filter(np.asarray(sample["d"]) == width)["v"])
-        by_width[width] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for width, count in zip(*np.unique(np.asarray(sample["d"]), return_counts=True)):
+        if count >= min(pivots, LEAST_PIVOTS):
+            x = matrix(sample.filter(np.asarray(sample["d"]) == width)["v"])
+            by_width[int(width)] = x / np.linalg.norm(x, axis=1, keepdims=True)
     shipped = vectors.sparkSession.sparkContext.broadcast(by_width)
 
     def search(query_ids, queries, ids, x):
         centres = shipped.value.get(x.shape[1])
-        centres = np.eye(1, x.shape[1]) if centres is None else centres  # a width that no pivot has
+        centres = np.eye(1, x.shape[1]) if centres is None else centres  # a width of few rows
         copies = Copies(x)
         index, columns = InvertedFiles(copies.vectors, centres, min(kept, len(centres))), np.ascontiguousarray(copies.vectors.T)
         most = max(AT_LEAST, 20 * k, int(reranked * len(x))) if len(centres) > 1 else len(x)

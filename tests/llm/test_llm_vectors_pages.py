@@ -119,6 +119,21 @@ def test_permutation_index_with_a_third_of_copies(spark):
     assert sum(hits) >= 0.9 * 20 * len(want)
 
 
+def test_permutation_index_of_a_rare_width(spark):
+    y = np.random.default_rng(6).normal(size=(3000, 24))
+    rows = rows_of(y / np.linalg.norm(y, axis=1, keepdims=True), 100_000)
+    many = spark.range(60_000).selectExpr("id as vec_id", "array(cast(id + 1 as float)) as embedding")
+    both = many.unionByName(frame(spark, rows).select("vec_id", "embedding"))
+    got = found(approximate_top_k(both, (F.col("id") % 50 == 0) & (F.col("id") >= 100_000), k=20, block=100_000))
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    assert sorted(got) == [i for i in ids if i % 50 == 0]
+    hits = 0
+    for q, v in got.items():
+        scores = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hits += len({i for i, _ in v} & set(ids[np.argsort(-scores)[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_recall_on_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = found(approximate_top_k(table, F.col("id") % 20 == 0, k=20))
