@@ -177,6 +177,19 @@ def test_language_of_nothing(spark, scratch):
     assert (row.lang, row.confidence) == ("en", 1.0)
 
 
+def test_every_language_of_the_texts_takes_part(spark, scratch):
+    letters = [chr(97 + n // 26) + chr(97 + n % 26) for n in range(70)]
+    said = {"l" + x: " ".join(f"{x}{y}" for y in ("qu", "ra", "sti", "to")) for x in letters}
+    docs = spark.createDataFrame([(0, f"{t} " * 20, x) for x, t in said.items()], "doc_id bigint, text string, lang string")
+    rows = [(n, f"http://{x}.org/{n}", f'<html lang="{x}"><p>{t}</p></html>', "x", "x", "x") for n, (x, t) in enumerate(said.items())]
+    rows += [(n + 100, f"http://{x}.org/y", f"<p>{t}</p>", "x", "x", "x") for n, (x, t) in enumerate(said.items())]
+    pages = pages_of(spark, [*rows, (None, None, None, "x", "x", "x")])
+    got = identify(pages, docs, scratch).collect()
+    assert len(got) == 141 and {r.page_id: r.lang for r in got if r.page_id is not None} == {n + m: x for n, x in enumerate(said) for m in (0, 100)}
+    passes = identify(pages, docs, scratch, model_bytes=30 << 18).collect()  # three runs of languages
+    assert sorted(map(repr, passes)) == sorted(map(repr, got))
+
+
 def test_languages_of_given_pages(spark, scratch):
     pages, docs = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "documents"))
     got = identify(pages, docs, scratch).collect()
