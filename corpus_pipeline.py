@@ -55,7 +55,8 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: Classifier, sketches and tokenizers are beyond SQL; tests compare the stages with brute force.
+#: Classifier, sketches and tokenizers are beyond SQL; tests compare each stage with plain Python on its own input, the
+#: classifier by its own scores.
 ORACLE_SQL = None
 
 
