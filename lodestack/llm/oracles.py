@@ -66,3 +66,39 @@ q AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS
 u AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans,
   string_agg(substring(h, (2 * left_from + 1)::BIGINT, (2 * (a - left_from))::BIGINT) || CASE WHEN last THEN substring(h, (2 * z + 1)::BIGINT) ELSE '' END, '' ORDER BY a) AS kept FROM q JOIN b USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN u USING (doc_id)"""
+
+#: Lists of nodes by height; siblings are cut out of them by a leaf's rank, and folds run along a document's own list of siblings.
+MANIFEST = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, lang, n_chars::VARCHAR AS n, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc FROM documents),
+f AS (SELECT doc_id, source, crc, list_transform([doc_id::VARCHAR, source, lang, n], lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v)::VARCHAR || ':' || v END) AS head, text, low FROM d),
+e AS MATERIALIZED (SELECT doc_id, source, sha256(array_to_string(head, '') || CASE WHEN text IS NULL THEN '-' ELSE strlen(text)::VARCHAR || ':' || text END) AS leaf,
+  CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(array_to_string(head, '') || CASE WHEN text IS NULL THEN '-' ELSE strlen(low)::VARCHAR || ':' || low END) END AS forged FROM f),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM e),
+t AS (SELECT source, 0 AS h, list(leaf ORDER BY r) AS l FROM p GROUP BY source
+  UNION ALL SELECT source, h + 1, list_transform(range(0, (len(l) + 15) // 16), lambda i: sha256(array_to_string(l[16 * i + 1:16 * i + 16], ''))) FROM t WHERE len(l) > 1),
+s AS MATERIALIZED (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM t WHERE len(l) = 1),
+u AS (SELECT 0 AS h, list(subroot ORDER BY k) AS l FROM s UNION ALL SELECT h + 1, list_transform(range(0, (len(l) + 15) // 16), lambda i: sha256(array_to_string(l[16 * i + 1:16 * i + 16], ''))) FROM u WHERE len(l) > 1),
+w AS (SELECT p.doc_id, p.leaf, 0 AS tier, t.h, t.l, (p.r // pow(16, t.h)::BIGINT)::BIGINT AS i FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND len(t.l) > 1
+  UNION ALL SELECT p.doc_id, p.leaf, 1, u.h, u.l, (s.k // pow(16, u.h)::BIGINT)::BIGINT FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN u ON len(u.l) > 1),
+g AS (SELECT doc_id, leaf, list({'a': array_to_string(l[16 * (i // 16) + 1:i], ''), 'z': array_to_string(l[i + 2:16 * (i // 16) + 16], '')} ORDER BY tier, h) AS path FROM w GROUP BY doc_id, leaf),
+o AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT l[1] FROM u WHERE len(l) = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.a || x.z), ''), '')) AS proof_sha256,
+  list_reduce(list_prepend({'a': coalesce(p.forged, p.leaf), 'z': ''}, coalesce(path, [])), lambda x, y: {'a': sha256(y.a || x.a || y.z), 'z': ''}).a AS folded_root
+  FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM p.doc_id AND g.leaf = p.leaf)
+SELECT *, folded_root = root AS verified FROM o"""
+
+#: All products of anchors and rows.
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM v AS a JOIN v AS c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v) WHERE a.vec_id % 50 = 0),
+q AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM q JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+#: Grouping by the normalised text.
+EXACT = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM t JOIN g USING (t)"""
