@@ -206,14 +206,14 @@ def test_cells_come_in_the_order_of_their_sums():
 def test_most_cells_of_clustered_vectors_are_not_visited():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 16)) * 256
-    x = np.floor(centres[np.arange(4000) % 40] + 5 * rng.normal(size=(4000, 16)))
+    x = np.floor(centres[np.arange(20_000) % 40] + 5 * rng.normal(size=(20_000, 16)))
     codes = Codes((codebook(x[:, :8], 40), codebook(x[:, 8:], 40)))
     (i, r1), (j, r2) = (nearest(h, w) for h, w in zip(codes.halves(x), codes.words))
     np.maximum.at(codes.radii[0], i, r1)
     np.maximum.at(codes.radii[1], j, r2)
-    block = Block(codes, np.arange(4000), np.arange(4000) % 2, x, i, j)
+    block = Block(codes, np.arange(20_000), np.arange(20_000) % 2, x, i, j)
     found = block.search(x[7], [(m[0], s[0]) for m, s in codes.bounds(x[7:8])], 7, 1, True, 5, [(-(2**62), 2**62, None)])
     scores = x.astype(int) @ x[7].astype(int)
-    want = sorted((-scores[n], n) for n in range(1, 4000, 2) if n != 7)[:5]
+    want = sorted((-scores[n], n) for n in range(1, 20_000, 2) if n != 7)[:5]
     assert [(-int(s), int(block.ids[r])) for r, s in zip(found[0][1], found[0][2])] == want
     assert block.visited < len(block.cells) / 4
