@@ -15,6 +15,7 @@ finds there is a floor for all other blocks, and only blocks with a cell that ca
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ WORDS = 64
 #: Rows from which codebooks are fitted; every row is indexed.
 SAMPLE = 4_096
 #: The most rows of a block, fewer of wide vectors so that a block has at most 32 MB, and queries that meet it in one task.
-BLOCK = 8_192
+BLOCK = 4_096
 BLOCK_BYTES = 32 << 20
 GROUP = 2_048
 #: Rows that are multiplied at a time while cells are visited.
@@ -175,10 +176,14 @@ class MultiIndex:
     def _deal(self, cells) -> DataFrame:
         """Neighbouring cells share a block while they fit."""
         out, at, room, width = [], -1, 0, None
+        rows = Counter()
+        for c in cells:
+            rows[c.d] += c.n
         for c in cells:
             codes = self.codes.setdefault(c.d, Codes((np.zeros((1, c.d // 2)), np.zeros((1, c.d - c.d // 2)))))
             codes.radii[0][c.i], codes.radii[1][c.j] = max(codes.radii[0][c.i], c.r1), max(codes.radii[1][c.j], c.r2)
             most = max(1, min(self.block, BLOCK_BYTES // (8 * max(1, c.d))))
+            most = -(-rows[c.d] // -(-rows[c.d] // most))  # blocks of about equal size
             pieces = -(-c.n // most)
             if c.d != width or c.n > room:
                 at, room, width = at + 1, most, c.d
