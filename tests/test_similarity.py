@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators.knowledge import ingest_knowledge
 from lodestack.operators.search import hybrid_search, neighbors, search, text_hits
-from lodestack.operators.similarity import check_vector_size, nearest_above, vector_top_k
+from lodestack.operators.similarity import band_keys, band_plan, check_vector_size, nearest_above, vector_top_k
 
 
 def clustered(rng, n, d=8, centres=6, noise=0.15):
@@ -25,11 +25,11 @@ def best_matches(new, stored, t):
     return {i: int(row.argmax()) for i, row in enumerate(scores) if row.max() >= t}
 
 
-@pytest.mark.parametrize("pivots", [0, 7])
-def test_nearest_above_is_exact(spark, pivots):
+@pytest.mark.parametrize("how", [{"exact": True}, {"bits": 0}, {"bits": 3}, {"bits": 8, "recall": 0.999999}, {}])
+def test_nearest_above_finds_all(spark, how):
     rng = np.random.default_rng(1)
     stored, new = clustered(rng, 300), clustered(rng, 200)
-    found = nearest_above(frame(spark, new, "new_id"), frame(spark, stored, "stored_id"), 0.95, pivots=pivots, block_rows=32)
+    found = nearest_above(frame(spark, new, "new_id"), frame(spark, stored, "stored_id"), 0.95, block_rows=32, **how)
     assert {r.new_id: r.match_id for r in found.collect()} == best_matches(new, stored, 0.95)
 
 
@@ -38,7 +38,7 @@ def test_nearest_above_with_a_hot_vector(spark):
     stored, new = clustered(rng, 90), clustered(rng, 90)
     new[30:60] = stored[3]
     stored[10:40] = stored[3]
-    found = nearest_above(frame(spark, new, "new_id"), frame(spark, stored, "stored_id"), 0.9, pivots=3, block_rows=8)
+    found = nearest_above(frame(spark, new, "new_id"), frame(spark, stored, "stored_id"), 0.9, bits=2, block_rows=8)
     got = {r.new_id: (r.match_id, round(r.similarity, 9)) for r in found.collect()}
     scores = new @ stored.T
     want = {i: round(float(row.max()), 9) for i, row in enumerate(scores) if row.max() >= 0.9}
@@ -46,6 +46,50 @@ def test_nearest_above_with_a_hot_vector(spark):
     assert all(got[i][0] == 3 for i in range(30, 60))
 
 
+def spread_pairs(rng, n, d, cosine):
+    """n directions and, for each, another at that cosine."""
+    a, b = rng.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def test_recall_at_the_threshold(spark):
+    stored, new = spread_pairs(np.random.default_rng(8), 1500, 24, 0.951)
+    for recall in (0.9, 0.999):
+        found = nearest_above(frame(spark, new, "new_id"), frame(spark, stored, "stored_id"), 0.95, bits=9, recall=recall)
+        right = sum(r.new_id == r.match_id for r in found.collect())
+        assert right >= (recall - 0.02) * 1500  # two standard deviations of 1,500 draws at 0.9
+
+
+def test_candidates_grow_about_linearly(spark):
+    load = {}
+    for n in (4_000, 16_000, 64_000):
+        planes, bands = band_plan(n, 0.95, 0.99)
+        stored, new = spread_pairs(np.random.default_rng(9), n, 24, 0.96)
+        sides = [frame(spark, x, "id").select(F.explode(band_keys(planes, bands)("vector")).alias("k")).groupBy("k").count() for x in (stored, new)]
+        load[n] = sides[0].join(sides[1].withColumnRenamed("count", "other"), "k").agg(F.sum(F.col("count") * F.col("other"))).first()[0]
+    assert load[64_000] / load[4_000] < 16**1.35  # all pairs grow by 256
+    assert load[64_000] < 64_000**2 / 40
+
+
+def test_plan_of_bands():
+    assert band_plan(100, 0.95, 0.999) == (0, 1)
+    assert band_plan(10**9, 0.3, 0.9999)[0] < band_plan(10**9, 0.95, 0.9999)[0]
+    planes, bands = band_plan(10**6, 0.95, 0.999)
+    assert (1 - (1 - np.arccos(0.95) / np.pi) ** planes) ** bands <= 0.001
+    assert band_plan(10**6, 1.0, 0.999)[1] == 1
+
+
+def test_vectors_that_match_nothing(spark):
+    new = frame(spark, np.array([[0.0, 0.0], [1.0, 0.0], [-1.0, 0.0]]), "new_id")
+    stored = frame(spark, np.array([[0.0, 0.0], [1.0, 0.0]]), "stored_id")
+    for how in ({"exact": True}, {"bits": 4}):
+        assert [(r.new_id, r.match_id) for r in nearest_above(new, stored, 0.9, **how).collect()] == [(1, 1)]
+        assert nearest_above(new.limit(0), stored, 0.9, **how).count() == nearest_above(new, stored.limit(0), 0.9, **how).count() == 0
+
+
 def test_nearest_above_stays_in_scope(spark):
     v = np.eye(3)[[0, 0, 1]]
     new = frame(spark, v, "new_id", user=["a", "b", "b"])
