@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators.knowledge import ingest_knowledge
-from lodestack.operators.search import hybrid_search, neighbors, search, text_hits
+from lodestack.operators.search import containing_words, hybrid_search, neighbors, search, text_hits
 from lodestack.operators.similarity import band_keys, band_plan, check_vector_size, nearest_above, vector_top_k
 
 
@@ -186,6 +186,40 @@ def test_long_tokens_and_overlaps(spark):
     assert {r.query_id: r.score for r in text_hits(chunks, queries).collect()} == {1: 1.0, 2: 2.0}
 
 
+def brute_hits(chunks, queries):
+    out = {}
+    for d, order, text in chunks:
+        for q, scope, query in queries:
+            n = sum((text or "").lower().count(t) for t in set((query or "").lower().split())) if d == scope else 0
+            if n:
+                out[q, d, order] = out.get((q, d, order), 0) + n
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_text_hits_in_many_blocks(spark, monkeypatch, small):
+    if small:  # cells of a few texts and a few tokens on either side
+        monkeypatch.setattr("lodestack.operators.search.TEXT_BYTES", 300)
+        monkeypatch.setattr("lodestack.operators.search.NEEDLE_BYTES", 200)
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abAé"), rng.integers(1, 5)))
+    chunks = [(int(rng.integers(3)), i, " ".join(word() for _ in range(rng.integers(0, 40)))) for i in range(120)]
+    chunks += [(0, 500, None), (0, 501, ""), (1, 502, "abab"), (1, 502, "ababab"), (9, 503, "ab"), (None, 504, "ab")]
+    queries = [(q, int(rng.integers(4)), " ".join(word() for _ in range(rng.integers(0, 9)))) for q in range(60)] + [(90, 1, None), (91, 1, " "), (92, None, "ab")]
+    frames = [
+        spark.createDataFrame([(*c, "c", "p") for c in chunks], "doc_id bigint, chunk_order int, chunk string, chunk_id string, original_tag_type string"),
+        spark.createDataFrame(queries, "query_id bigint, doc_id bigint, query string"),
+    ]
+    assert {(r.query_id, r.doc_id, r.chunk_order): r.score for r in text_hits(*frames).collect()} == brute_hits(chunks, queries)
+    assert text_hits(frames[0].limit(0), frames[1]).count() == text_hits(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_words_that_contain_needles_by_scope(spark):
+    needles = spark.createDataFrame([("u", "ab"), ("v", "b"), ("v", "")], "user string, needle string")
+    words = spark.createDataFrame([("u", "cab"), ("u", "b"), ("v", "ab"), ("v", "a")], "user string, word string")
+    assert {tuple(r) for r in containing_words(needles, words, ["user"]).collect()} == {("u", "ab", "cab"), ("v", "b", "ab")}
+
+
 def test_hybrid_ties_and_shared_ids(spark):
     queries = spark.createDataFrame([(1, 1, "apple", [1.0, 0.0])], "query_id bigint, doc_id bigint, query string, vector array<double>")
     vectors = spark.createDataFrame([(1, "c0", [0.0, 1.0]), (1, "c3", [0.0, -1.0]), (1, "gone", [1.0, 0.0])], "doc_id bigint, chunk_id string, vector array<double>")
