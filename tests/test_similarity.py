@@ -190,7 +190,7 @@ def brute_hits(chunks, queries):
     out = {}
     for d, order, text in chunks:
         for q, scope, query in queries:
-            n = sum((text or "").lower().count(t) for t in set((query or "").lower().split())) if d == scope else 0
+            n = sum((text or "").lower().count(t) for t in set((query or "").lower().split())) if d is not None and d == scope else 0
             if n:
                 out[q, d, order] = out.get((q, d, order), 0) + n
     return out
