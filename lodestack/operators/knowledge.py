@@ -1,4 +1,9 @@
-"""Knowledge entries: a similarity guard that depends on arrival order, resolved in rounds instead of one by one."""
+"""Knowledge entries: a similarity guard that depends on arrival order, resolved all over the data at once.
+
+A few rounds settle every entry whose surroundings are settled, which is nearly all. What is left is entries that may see
+different points because forced ones before them delete some. Those fall into groups that do not touch each other,
+and each group is replayed in arrival order in one pass.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators.similarity import ANGLE_SLACK, BLOCK_ROWS, MAX_PIVOTS, block_join
+from lodestack.operators.similarity import ANGLE_SLACK, BLOCK_ROWS, MAX_PIVOTS, block_join, unit_rows
 from lodestack.session import cut_lineage
 
 NEVER = 2**62
+# Rounds before what is left is replayed, and the most rows of a group that is.
+ROUNDS = 3
+GROUP_ROWS = 100_000
 
 
 def knowledge_text(query: Column, answer: Column) -> Column:
@@ -77,8 +85,111 @@ def _look_around(
     )
 
 
+def _links(cosines: np.ndarray, threshold: float, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """(a, b): for every row and column that is near to another, a link to the first id of those it hangs together with.
+
+    At most a link per row and column, however many are near to each other.
+    """
+    near = cosines >= threshold
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near = near[np.ix_(rows, columns)]
+    of_rows, of_columns = np.arange(len(rows)), np.full(len(columns), len(rows))
+    while len(rows):
+        of_columns = np.where(near, of_rows[:, None], len(rows)).min(axis=0)
+        lower = np.where(near, of_columns[None, :], len(rows)).min(axis=1)
+        if (lower == of_rows).all():
+            break
+        of_rows = np.minimum(lower, of_rows[lower])
+    heads = left[rows]
+    return pd.DataFrame({"a": np.concatenate([heads, right[columns]]), "b": np.concatenate([heads[of_rows], heads[of_columns]])})
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, head): the smallest node that each node of (a, b) hangs together with.
+
+    Every round links the larger neighbours of a node to its smallest, then the smaller ones, until nothing moves: a chain
+    of n nodes takes about log n rounds, a star or a clique two.
+    """
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("head"))
+        large = cut_lineage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("head").alias("b")).distinct())
+        smaller = large.groupBy("a").agg(F.min("b").alias("head"))
+        small = large.join(smaller, "a").select(F.when(F.col("b") == F.col("head"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("head").alias("b"))
+        after = cut_lineage(small.where("a <> b").distinct())
+        # Settled is a forest of stars: heads have no head of their own, and nodes have one.
+        heads = after.select("b").distinct()
+        if after.join(heads.withColumnRenamed("b", "a"), "a", "left_semi").isEmpty() and after.groupBy("a").count().where("count > 1").isEmpty():
+            return after.select(F.col("a").alias("node"), F.col("b").alias("head")).union(heads.select("b", "b"))
+        edges = after
+
+
+def _replay(waiting: DataFrame, points: DataFrame, scope: Sequence[str], threshold: float, pivots: int, most: int) -> DataFrame:
+    """(entry_id, verdict, match_id, similarity) of the waiting entries, group by group in the order of arrival."""
+    ids = {f.name: f.dataType.simpleString() for f in waiting.schema.fields}
+    sides = waiting.select(F.col("entry_id").alias("id"), *scope, "vector")
+    lives = points.select(F.col("point_id").alias("id"), *scope, "vector")
+
+    def link(left: pd.DataFrame, right: pd.DataFrame, cosines: np.ndarray) -> pd.DataFrame:
+        key = [x["_place"].to_numpy() for x in (left, right)]
+        return _links(cosines, threshold, *key)
+
+    # Ids repeat between scopes, and points may be named like entries: places are told apart by kind and scope.
+    def placed(df: DataFrame, kind: str) -> DataFrame:
+        return df.withColumn("_place", F.to_json(F.struct(F.lit(kind).alias("k"), F.struct(*scope).alias("s"), F.col("id").alias("i"))))
+
+    left, right = placed(sides, "e"), placed(sides, "e").unionByName(placed(lives, "p"))
+    links = block_join(left, right, link, "a string, b string", scope, math.acos(threshold) if threshold > 0 else None, pivots)
+    heads = cut_lineage(connected(links))
+    rows = placed(waiting.withColumn("id", F.col("entry_id")), "e").select(
+        "_place", F.col("id"), "arrival", F.lit(NEVER).alias("deleted_at"), "force", F.lit(True).alias("waits"), "vector"
+    )
+    alive = placed(points.withColumn("id", F.col("point_id")), "p").select(
+        "_place", F.col("id"), F.col("inserted_at").alias("arrival"), "deleted_at", F.lit(False).alias("force"), F.lit(False).alias("waits"), "vector"
+    )
+    # An entry without links is a group of its own; a point without is nobody's match.
+    named = heads.withColumnRenamed("node", "_place")
+    grouped = cut_lineage(
+        rows.join(named, "_place", "left").withColumn("head", F.coalesce("head", "_place")).unionByName(alive.join(named, "_place"))
+    )
+    largest = grouped.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).orderBy(F.desc("n")).first()
+    if largest and largest["n"] > most:
+        raise ValueError(f"{largest['n']} entries and points around {largest['id']!r} are near to each other, with forced ones among them; at most {most} can be replayed")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        # Points of one moment come before an entry of it; equal scores go to the smaller id.
+        group = group.sort_values(["arrival", "waits", "id"], kind="stable")
+        units = unit_rows(group["vector"])
+        names, arrival, waits = group["id"].to_numpy(), group["arrival"].to_numpy(), group["waits"].to_numpy()
+        ends, force = group["deleted_at"].to_numpy().copy(), group["force"].to_numpy()
+        here = np.zeros(len(group), bool)
+        here[~waits] = True
+        out = []
+        for n in np.flatnonzero(waits):
+            seen = np.flatnonzero(here & (arrival < arrival[n]) & (ends > arrival[n]))
+            scores = units[seen] @ units[n]
+            near = seen[scores >= threshold]
+            best = min(near, key=lambda i: (-float(units[i] @ units[n]), names[i]), default=None) if len(near) else None
+            if best is not None and not force[n]:
+                out.append((names[n], "skipped", names[best], float(units[best] @ units[n])))
+                continue
+            if best is not None:
+                ends[best] = arrival[n]
+            here[n] = True
+            out.append((names[n], "inserted" if best is None else "replaced", None if best is None else names[best], None if best is None else float(units[best] @ units[n])))
+        return pd.DataFrame(out, columns=["entry_id", "verdict", "match_id", "similarity"])
+
+    return grouped.groupBy("head").applyInPandas(run, f"entry_id {ids['entry_id']}, verdict string, match_id string, similarity double")
+
+
 def ingest_knowledge(
-    entries: DataFrame, stored: DataFrame, threshold: float = 0.95, scope: Sequence[str] = ("collection_name",)
+    entries: DataFrame,
+    stored: DataFrame,
+    threshold: float = 0.95,
+    scope: Sequence[str] = ("collection_name",),
+    rounds: int = ROUNDS,
+    group_rows: int = GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(log, points) after all entries arrived one after the other.
 
@@ -89,7 +200,9 @@ def ingest_knowledge(
     Whether an entry's surroundings are settled only depends on entries within twice the threshold angle. So each round
     decides, all over the data at once, every entry with no undecided earlier one in that reach, and also skips every
     unforced entry that sees a living point no undecided forced entry could delete. Unforced copies of one entry
-    settle in two rounds however many they are; a chain of n forced near-copies takes n.
+    settle in two rounds however many they are. What still waits after `rounds` rounds is replayed, each group of entries and
+    points that are near to each other on its own; a group of more than `group_rows` rows is an error, which only a mass of
+    near-copies with forced ones among them makes.
     """
     names = ["entry_id", "arrival", "force", *scope, "vector"]
     waiting = cut_lineage(entries.select(*names))
@@ -97,8 +210,15 @@ def ingest_knowledge(
         stored.select("point_id", F.lit(-1).cast("bigint").alias("inserted_at"), F.lit(NEVER).alias("deleted_at"), *scope, "vector")
     )
     pivots = min(MAX_PIVOTS, (waiting.count() + points.count()) // BLOCK_ROWS)
-    log = None
+    log, done = None, 0
     while not waiting.isEmpty():
+        done += 1
+        if done > rounds:
+            found = cut_lineage(_replay(waiting, points, scope, threshold, pivots, group_rows))
+            decided = cut_lineage(waiting.join(found, "entry_id").select(*names, "verdict", "match_id", "similarity"))
+            log = decided if log is None else log.unionByName(decided)
+            points = cut_lineage(_after(points, decided, scope))
+            break
         seen = _look_around(waiting, points, waiting, scope, threshold, pivots)
         ready, matched = ~F.col("any_before"), F.col("m").isNotNull()
         skipped = matched & ~F.col("force") & ~F.col("forced_before")
@@ -113,14 +233,7 @@ def ingest_knowledge(
             *names, "verdict", F.col("m.match_id").alias("match_id"), (-F.col("m.s")).alias("similarity")
         )
         log = decided if log is None else log.unionByName(decided)
-        deleted = decided.where(F.col("verdict") == "replaced").select(
-            F.col("match_id").alias("point_id"), F.col("arrival").alias("_deleted"), *scope
-        )
-        added = decided.where(F.col("verdict") != "skipped").select(
-            F.col("entry_id").alias("point_id"), F.col("arrival").alias("inserted_at"), F.lit(NEVER).alias("deleted_at"), *scope, "vector"
-        )
-        ended = points.join(deleted, ["point_id", *scope], "left").withColumn("deleted_at", F.coalesce("_deleted", "deleted_at"))
-        points = cut_lineage(ended.select(points.columns).unionByName(added))
+        points = cut_lineage(_after(points, decided, scope))
         waiting = state.where(F.col("verdict") == "waiting").select(*names)
     alive = points.where(F.col("deleted_at") == NEVER).select("point_id", *scope, "vector")
     if log is None:
@@ -128,6 +241,19 @@ def ingest_knowledge(
     return _final_log(log, points, scope, threshold, pivots), alive
 
 
+def _after(points: DataFrame, decided: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The points with those added that were decided on, and the ends of those that they replaced."""
+    deleted = decided.where(F.col("verdict") == "replaced").select(
+        F.col("match_id").alias("point_id"), F.col("arrival").alias("_deleted"), *scope
+    )
+    added = decided.where(F.col("verdict") != "skipped").select(
+        F.col("entry_id").alias("point_id"), F.col("arrival").alias("inserted_at"), F.lit(NEVER).alias("deleted_at"), *scope, "vector"
+    )
+    both = points.unionByName(added)
+    ended = both.join(deleted, ["point_id", *scope], "left").withColumn("deleted_at", F.coalesce("_deleted", "deleted_at"))
+    return ended.select(points.columns)
+
+
 def _final_log(log: DataFrame, points: DataFrame, scope: Sequence[str], threshold: float, pivots: int) -> DataFrame:
     """An early skip may have seen only some of its neighbours, so skipped entries look again at all points."""
     skipped = log.where(F.col("verdict") == "skipped")

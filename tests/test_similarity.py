@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators.knowledge import ingest_knowledge
+from lodestack.operators.knowledge import _links, connected, ingest_knowledge
 from lodestack.operators.search import containing_words, hybrid_search, neighbors, search, text_hits
 from lodestack.operators.similarity import band_keys, band_plan, check_vector_size, nearest_above, vector_top_k
 
@@ -136,16 +136,15 @@ def replay(vectors, force, stored, t):
     return log, set(alive)
 
 
-@pytest.mark.parametrize("n,share", [(60, 0.0), (12, 0.4)])
-def test_knowledge_equals_one_by_one(spark, n, share):
+@pytest.mark.parametrize("n,share,rounds", [(60, 0.0, 3), (150, 0.4, 0), (150, 0.4, 1), (150, 0.1, 3)])
+def test_knowledge_equals_one_by_one(spark, n, share, rounds):
     rng = np.random.default_rng(4)
-    # Forced entries that lie close together are settled one per round, so that case is kept small.
     vectors, stored = clustered(rng, n, noise=0.2), clustered(rng, 5, noise=0.2)
     force = rng.random(n) < share
     rows = [(f"e{i:03d}", i, bool(force[i]), "c", v.tolist()) for i, v in enumerate(vectors)]
     entries = spark.createDataFrame(rows, "entry_id string, arrival bigint, force boolean, collection_name string, vector array<double>")
     points = spark.createDataFrame([(f"s{i}", "c", v.tolist()) for i, v in enumerate(stored)], "point_id string, collection_name string, vector array<double>")
-    log, alive = ingest_knowledge(entries, points, 0.93)
+    log, alive = ingest_knowledge(entries, points, 0.93, rounds=rounds)
     want_log, want_alive = replay(vectors, force, stored, 0.93)
     assert {r.entry_id: (r.inserted, r.match_id, r.replaced) for r in log.collect()} == want_log
     assert {r.point_id for r in alive.collect()} == want_alive
@@ -160,6 +159,54 @@ def test_unforced_copies_settle_at_once(spark):
     assert log.where("reused AND match_id = 'e000'").count() == 199
 
 
+def test_forced_copies_take_no_more_rounds(spark, monkeypatch):
+    looks = []
+    import lodestack.operators.knowledge as module
+
+    look = module._look_around
+    monkeypatch.setattr(module, "_look_around", lambda *a: looks.append(1) or look(*a))
+    rows = [(f"e{i:03d}", i, True, "c", [1.0, 0.001 * i]) for i in range(200)]
+    entries = spark.createDataFrame(rows, "entry_id string, arrival bigint, force boolean, collection_name string, vector array<double>")
+    empty = entries.limit(0).select(F.col("entry_id").alias("point_id"), "collection_name", "vector")
+    log, alive = ingest_knowledge(entries, empty)
+    assert [r.point_id for r in alive.collect()] == ["e199"]
+    assert {(r.entry_id, r.match_id) for r in log.collect()} == {("e000", None), *((f"e{i:03d}", f"e{i - 1:03d}") for i in range(1, 200))}
+    assert len(looks) == 4  # three rounds and the final look
+    with pytest.raises(ValueError, match="197 entries and points|19[0-9] entries|200 entries"):
+        ingest_knowledge(entries, empty, group_rows=50)
+
+
+def test_connected_chains_and_stars(spark):
+    links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("z", f"y{i}") for i in range(9)] + [("q", "q")]
+    got = {r.node: r.head for r in connected(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {**{f"n{i:03d}": "n000" for i in range(61)}, **{f"y{i}": "y0" for i in range(9)}, "z": "y0"}
+
+
+def test_links_hang_together_like_all_pairs():
+    rng = np.random.default_rng(7)
+    near = rng.random((40, 50)) < 0.03
+    ids = np.array([f"a{i:02d}" for i in range(40)]), np.array([f"b{i:02d}" for i in range(50)])
+    found = _links(near.astype(float), 0.5, *ids)
+    assert len(found) <= 90
+
+    def groups(pairs):
+        top = {}
+
+        def find(x):
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        for a, b in pairs:
+            top[find(a)] = find(b)
+        out = {}
+        for x in list(top):
+            out.setdefault(find(x), set()).add(x)
+        return sorted(map(sorted, out.values()))
+
+    assert groups(zip(found["a"], found["b"])) == groups((ids[0][i], ids[1][j]) for i, j in zip(*np.nonzero(near)))
+
+
 CHUNKS = [
     (1, 0, "c0", "Red apple apple", "p"),
     (1, 1, "c1", "green pear", "p"),
