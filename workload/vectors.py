@@ -217,14 +217,12 @@ def search_terms(spark, sf_dir):
     return se.search_terms(placed, keywords)
 
 
-# Originals and shifted copies arrive in turn; copies of the even labels are forced.
-@query(f"""
+TURNS_OF_ENTRIES = f"""
 WITH s AS ({STORED_SQL}), n AS ({SHIFTED_SQL}), p AS (
- SELECT new_id, n.label, list_cosine_similarity(n.vector, s.vector) AS c FROM n JOIN s ON s.stored_id = n.new_id)
-SELECT 'e' || stored_id || 'a' AS entry_id, true AS inserted, NULL AS match_id, NULL AS similarity, false AS replaced FROM s
-UNION ALL SELECT 'e' || new_id || 'b', c < 0.95 OR label % 2 = 0, CASE WHEN c >= 0.95 THEN 'e' || new_id || 'a' END,
- CASE WHEN c >= 0.95 THEN round(c, 6) END, c >= 0.95 AND label % 2 = 0 FROM p""")
-def ingest_knowledge_entries(spark, sf_dir):
+ SELECT new_id, n.label, n.vector, list_cosine_similarity(n.vector, s.vector) AS c FROM n JOIN s ON s.stored_id = n.new_id)"""
+
+
+def entries_in_turn(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     def entries(rows: DataFrame, key: str, turn: int) -> DataFrame:
         return rows.select(
             F.concat(F.lit("e"), F.col(key).cast("string"), F.lit("ab"[turn])).alias("entry_id"),
@@ -237,10 +235,28 @@ def ingest_knowledge_entries(spark, sf_dir):
     stored, shifted = stored_vectors(spark, sf_dir), shifted_vectors(spark, sf_dir)
     batch = entries(stored, "stored_id", 0).unionByName(entries(shifted, "new_id", 1))
     empty = stored.limit(0).select(F.lit("").alias("point_id"), F.lit("all").alias("collection_name"), "vector")
-    log, _ = ingest_knowledge(batch, empty)
+    return ingest_knowledge(batch, empty)
+
+
+# Originals and shifted copies arrive in turn; copies of the even labels are forced.
+@query(TURNS_OF_ENTRIES + """
+SELECT 'e' || stored_id || 'a' AS entry_id, true AS inserted, NULL AS match_id, NULL AS similarity, false AS replaced FROM s
+UNION ALL SELECT 'e' || new_id || 'b', c < 0.95 OR label % 2 = 0, CASE WHEN c >= 0.95 THEN 'e' || new_id || 'a' END,
+ CASE WHEN c >= 0.95 THEN round(c, 6) END, c >= 0.95 AND label % 2 = 0 FROM p""")
+def ingest_knowledge_entries(spark, sf_dir):
+    log, _ = entries_in_turn(spark, sf_dir)
     return log.select("entry_id", "inserted", "match_id", F.round("similarity", 6).alias("similarity"), "replaced")
 
 
+# What is stored after that: originals that no forced copy replaced, and copies that were inserted.
+@query(TURNS_OF_ENTRIES + """
+SELECT 'e' || stored_id || 'a' AS point_id, 'all' AS collection_name, round(s.vector[1], 6) AS first FROM s JOIN p ON new_id = stored_id WHERE NOT (c >= 0.95 AND p.label % 2 = 0)
+UNION ALL SELECT 'e' || new_id || 'b', 'all', round(vector[1], 6) FROM p WHERE c < 0.95 OR label % 2 = 0""")
+def ingest_knowledge_points(spark, sf_dir):
+    _, points = entries_in_turn(spark, sf_dir)
+    return points.select("point_id", "collection_name", F.round(F.col("vector")[0], 6).alias("first"))
+
+
 # Chunks of the pages against the labelled collections: the vector of a chunk counts its letters.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -254,22 +270,41 @@ def letter_counts(df: DataFrame) -> DataFrame:
 COUNTS_SQL = "[" + ", ".join(f"(length(lower({{t}})) - length(replace(lower({{t}}), '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
 
 
-@query(rf"""
+PAGE_CHUNKS_SQL = rf"""
 WITH r AS (SELECT 'h' || page_id AS file_hash, (i - 1)::INTEGER AS chunk_order, trim(regexp_replace(bodies[i], '\s+', ' ', 'g')) AS text
   FROM (SELECT page_id, bodies, unnest(range(1, len(bodies) + 1)) AS i
         FROM (SELECT page_id, regexp_extract_all(html, '<p>(.*?)</p>', 1, 'is') AS bodies FROM pages))),
 v AS (SELECT *, {COUNTS_SQL.format(t='text')} AS vector FROM r WHERE text <> ''),
-s AS (SELECT {COUNTS_SQL.format(t='text')} AS vector FROM benchmark),
-m AS (SELECT file_hash, chunk_order, max(CASE WHEN NOT isnan(c) THEN c END) AS best
-  FROM (SELECT file_hash, chunk_order, list_cosine_similarity(v.vector, s.vector) AS c FROM v, s) GROUP BY ALL)
-SELECT file_hash, count(*) AS total_chunks, count(*) FILTER (WHERE NOT coalesce(best >= 0.985, false)) AS inserted_chunks,
-  count(*) FILTER (WHERE best >= 0.985) AS reused_chunks FROM m GROUP BY file_hash""")
-def ingest_page_chunks(spark, sf_dir):
+s AS (SELECT 'b' || item_id AS stored_id, {COUNTS_SQL.format(t='text')} AS vector FROM benchmark),
+m AS (SELECT file_hash, chunk_order, stored_id, c FROM (SELECT file_hash, chunk_order, stored_id, list_cosine_similarity(v.vector, s.vector) AS c FROM v, s)
+  WHERE NOT isnan(c) AND c >= 0.985 QUALIFY row_number() OVER (PARTITION BY file_hash, chunk_order ORDER BY round(c, 9) DESC, stored_id) = 1),
+w AS (SELECT v.*, stored_id, coalesce(stored_id, sha256(file_hash || '-' || chunk_order)) AS chunk_id FROM v LEFT JOIN m USING (file_hash, chunk_order))
+"""
+
+
+def pages_ingested(spark, sf_dir) -> plans.Ingested:
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("h"), F.col("page_id").cast("string")).alias("file_hash"), "html")
     known = letter_counts(table(spark, sf_dir, "benchmark"))
     points = known.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("chunk_id"), "vector")
     mappings = extract_chunks(pages.limit(0), ["file_hash"], "html").select(
         F.col("file_hash").alias("input_file_hash"), "chunk_order", "chunk", F.lit("").alias("chunk_id"), "original_tag_type"
     )
-    done = plans.ingest_chunks(pages, points, mappings, letter_counts, len(LETTERS), 0.985, text="html")
-    return plans.ingest_counts(done.records)
+    return plans.ingest_chunks(pages, points, mappings, letter_counts, len(LETTERS), 0.985, text="html")
+
+
+@query(PAGE_CHUNKS_SQL + """
+SELECT file_hash, count(*) AS total_chunks, count(*) FILTER (WHERE stored_id IS NULL) AS inserted_chunks, count(stored_id) AS reused_chunks FROM w GROUP BY file_hash""")
+def ingest_page_chunks(spark, sf_dir):
+    return plans.ingest_counts(pages_ingested(spark, sf_dir).records)
+
+
+@query(PAGE_CHUNKS_SQL + """
+SELECT stored_id AS chunk_id, list_sum(vector)::BIGINT AS letters FROM s UNION ALL SELECT chunk_id, list_sum(vector)::BIGINT FROM w WHERE stored_id IS NULL""")
+def ingest_page_points(spark, sf_dir):
+    letters = F.aggregate("vector", F.lit(0.0), lambda a, b: a + b).cast("bigint")
+    return pages_ingested(spark, sf_dir).points.select("chunk_id", letters.alias("letters"))
+
+
+@query(PAGE_CHUNKS_SQL + "SELECT file_hash AS input_file_hash, chunk_order, text AS chunk, chunk_id, 'p' AS original_tag_type FROM w")
+def ingest_page_mappings(spark, sf_dir):
+    return pages_ingested(spark, sf_dir).mappings.select("input_file_hash", "chunk_order", "chunk", "chunk_id", "original_tag_type")
