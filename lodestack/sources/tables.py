@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,60 @@ def write_parquet(df: DataFrame, path: str) -> str:
     return path
 
 
+# The file that names the version to read.
+POINTER = "CURRENT"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _current_version(spark: SparkSession, path: str) -> str | None:
+    where, system = _file_system(spark, f"{path}/{POINTER}")
+    if not system.exists(where):
+        return None
+    stream = system.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def write_snapshot(table: DataFrame, key: str, path: str) -> str:
-    """The whole table as JSON lines `{"key": …, "record": {…}}`; Spark's commit replaces the old files at the end."""
+    """The whole table as JSON lines `{"key": …, "record": {…}}` in a version of its own below `path`.
+
+    The pointer to the version is switched by a rename after all rows are written. A write that fails or is lost leaves the version
+    before as it was; of older versions all but one are removed. One writer at a time.
+    """
+    spark = table.sparkSession
     rows = table.select(F.col(key).cast("string").alias("key"), F.struct(*table.columns).alias("record"))
-    rows.write.mode("overwrite").json(path)
+    before, version = _current_version(spark, path), f"version-{uuid.uuid4().hex}"
+    rows.write.json(f"{path}/{version}")
+    draft, system = _file_system(spark, f"{path}/.{version}")
+    stream = system.create(draft, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    mode = spark.sparkContext._gateway.new_array(options, 1)
+    mode[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(draft, _file_system(spark, f"{path}/{POINTER}")[0], mode)
+    others = [e.getPath() for e in system.listStatus(_file_system(spark, path)[0]) if e.getPath().getName().startswith("version-")]
+    for old in others:
+        if old.getName() not in (version, before):
+            system.delete(old, True)
     return path
 
 
+def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the version that the pointer names now."""
+    version = _current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.read.schema(schema).json(f"{path}/{version}")
+
+
 def list_datasets(files: DataFrame, user: str | None = None, file_type: str | None = None) -> DataFrame:
     """(user_id, file_id, original_filename) of files with an artifact, in (user, file) order."""
     rows = files.where(F.col("artifact_path").isNotNull())

@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.operators.logs import is_agent_message
 from lodestack.operators.metadata import job_states, latest
-from lodestack.sources.csv import QUOTING
+from lodestack.session import cut_lineage
+from lodestack.sources.csv import read_typed
+from lodestack.sources.files import with_hashes
 
 
 def _folder(path: str, batch: int) -> str:
@@ -27,7 +29,8 @@ def stream_csv_drops(
     """New CSV files are hashed; contents not yet in the catalog of `user` are typed and written once, and every arrival is
     logged. `out/files` is the catalog, `out/rows` holds the typed rows by file_id, `out/arrivals` the arrivals.
 
-    Files share one schema and have a header. Rows are read by path, so only the digest needs a file as a whole.
+    Files share one schema and have a header. Digests read files as streams and rows are read by ranges of files, quoted line
+    breaks or not.
     """
     source = (
         spark.readStream.format("binaryFile")
@@ -39,8 +42,7 @@ def stream_csv_drops(
     catalog = f"{out}/files"
 
     def load(batch: DataFrame, number: int) -> None:
-        arrived = batch.withColumn("file_hash", F.sha2("content", 256))
-        names = arrived.select("file_hash", "path", "length")
+        names = cut_lineage(with_hashes(batch))
         first = names.groupBy("file_hash").agg(F.min("path").alias("path"), F.min_by("length", "path").alias("file_size"))
         if _exists(spark, catalog):
             known = spark.read.schema("file_hash string, user string, batch int").parquet(catalog)
@@ -62,8 +64,7 @@ def stream_csv_drops(
         written = spark.read.schema(record.schema).parquet(_folder(catalog, number)).select("path", "file_id")
         paths = [row.path for row in written.select("path").collect()]  # at most `files_per_batch`
         if paths:
-            options = {"header": True, "mode": "FAILFAST", "multiLine": True, "enforceSchema": True, **QUOTING}
-            typed = spark.read.schema(schema).options(**options).csv(paths).select("*", F.col("_metadata.file_path").alias("_path"))
+            typed = read_typed(spark, paths, schema).withColumnRenamed("file", "_path")
             named = typed.join(written.withColumnRenamed("path", "_path"), "_path").select("file_id", *schema.names)
             named.write.mode("overwrite").parquet(_folder(f"{out}/rows", number))
 

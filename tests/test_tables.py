@@ -13,8 +13,9 @@ from lodestack.operators.search import search_terms
 from lodestack.operators.sql import open_database, run_readonly_sql, validate_sql
 from lodestack.operators.udf import run_grouped_function, verify_transform
 from lodestack.plans.csv_ingest import csv_to_parquet
-from lodestack.sources.csv import CsvJob, CsvReadError, read_csv, sniff
-from lodestack.sources.tables import TableSet, find_dataset, list_datasets
+from lodestack.sources.csv import CsvJob, CsvReadError, ends_open, read_csv, sniff
+from lodestack.sources.files import hash_files
+from lodestack.sources.tables import TableSet, find_dataset, list_datasets, read_snapshot, write_snapshot
 
 
 def write(path, text):
@@ -160,6 +161,100 @@ def test_csv_as_people_write_it(spark, tmp_path):
         read_csv(spark, str(tmp_path / "none.csv"))
 
 
+def small_ranges(spark, size):
+    """Files are read in ranges of so many bytes."""
+    for key, value in {"maxPartitionBytes": f"{size}b", "openCostInBytes": "1b", "minPartitionNum": "1"}.items():
+        spark.conf.set(f"spark.sql.files.{key}", value)
+
+
+@pytest.fixture
+def ranges(spark):
+    yield lambda size: small_ranges(spark, size)
+    for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+        spark.conf.unset(f"spark.sql.files.{key}")
+
+
+ROWS = [
+    ("a", "plain"), ("b", 'two\nlines'), ("c", 'say ""hi""; so'), ("d", "\n\n\n"), ("e", "x" * 300 + "\n" + "y" * 300), ("f", 'a\n;"";\nb'), ("g", ""), ("h", '5" pipe'), ("i", "ü\r\né"), ("j", "end"),
+] * 2
+
+
+@pytest.mark.parametrize("size", [150, 1_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_breaks_in_fields_and_ranges(spark, tmp_path, ranges, size, end):
+    def field(x):
+        return x if x == '5" pipe' else '"' + x + '"' if any(c in x for c in '\n;"') else x
+
+    path = tmp_path / "a.csv"
+    path.write_bytes(("\ufeffname;n;note" + end + "".join(f"{n};{i};{field(x)}{end}" for i, (n, x) in enumerate(ROWS))).encode())
+    ranges(size)
+    rows = read_csv(spark, str(path))
+    assert [f.dataType.simpleString() for f in rows.schema] == ["string", "bigint", "string"] and rows.columns == ["name", "n", "note"]
+    want = [(n, i, x.replace('""', '"') or None) for i, (n, x) in enumerate(ROWS)]
+    assert [tuple(r) for r in rows.orderBy("n").collect()] == want
+    if size < 1_000:
+        assert rows.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_files_are_hashed_as_streams(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a b%20.bin").write_bytes(b"abc" * 10_000)
+    with open(tmp_path / "large.bin", "wb") as f:  # sparse, beyond what one cell holds
+        f.truncate((1 << 31) + 7)
+    got = {r.path.rpartition("/")[2]: (r.length, r.file_hash) for r in hash_files(spark, f"{tmp_path}/*.bin").collect()}
+    zeros = hashlib.sha256()
+    for _ in range(1 << 11):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(7))
+    assert got == {
+        "a b%20.bin": (30_000, hashlib.sha256(b"abc" * 10_000).hexdigest()),
+        "large.bin": ((1 << 31) + 7, zeros.hexdigest()),
+    }
+
+
+def test_a_failed_snapshot_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
+    schema = "key string, record struct<id: bigint, name: string>"
+    with pytest.raises(FileNotFoundError):
+        read_snapshot(spark, path, schema)
+    assert write_snapshot(rows, "id", path) == path
+    broken = rows.withColumn("name", F.when(F.col("id") == 2, F.raise_error(F.lit("no"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="no"):
+        write_snapshot(broken, "id", path)
+    assert sorted((r.key, r.record.name) for r in read_snapshot(spark, path, schema).collect()) == [("1", "a"), ("2", "b")]
+    before = read_snapshot(spark, path, schema)
+    for n in range(3):
+        write_snapshot(rows.where("id = 1").withColumn("name", F.lit(f"c{n}")), "id", path)
+        if not n:
+            assert before.count() == 2  # a reader of the version before is not disturbed
+    assert [tuple(r.record) for r in read_snapshot(spark, path, schema).collect()] == [(1, "c2")]
+    assert len([p for p in (tmp_path / "snap").iterdir() if p.name.startswith("version-")]) == 2
+
+
+def test_quotes_open_only_at_the_start_of_a_field():
+    assert [ends_open(x, False, ",") for x in ('a,"b', 'a,b"', '5",6', '"a""', '"a"",b', '"a","b', "", ",", '""', '"')] == [True, False, False, True, True, True, False, False, False, True]
+    assert [ends_open(x, True, "||") for x in ("a", 'a"', 'a"||"', '""', '"||b"', 'a""||"')] == [True, False, True, True, False, False]
+
+
+def test_csv_of_little(spark, tmp_path, ranges):
+    ranges(20)
+    only = write(tmp_path / "h.csv", 'a,"b\nc"\n')
+    assert read_csv(spark, only).columns == ["a", "b\nc"] and read_csv(spark, only).count() == 0
+    bare = write(tmp_path / "n.csv", '1,"b\nc"\n2,d')
+    assert sorted(tuple(r) for r in read_csv(spark, bare, header=False).collect()) == [(1, "b\nc"), (2, "d")]
+    folder = tmp_path / "f.csv"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"p{n}.csv").write_text(f'x,y\n{n},"l\n{n}"\n')
+    assert sorted(tuple(r) for r in read_csv(spark, str(folder), folder=True).collect()) == [(n, f"l\n{n}") for n in range(3)]
+    # the break comes long after the first lines
+    late = write(tmp_path / "l.csv", "x,y\n" + "1,a\n" * 1500 + '2,"b\nc"\n')
+    ranges(2_000)
+    assert read_csv(spark, late).count() == 1501
+
+
 def test_long_words_and_blanks_take_linear_time(spark):
     from lodestack.functions.text import clean_markup, strip
     from lodestack.operators.documents import normalized_text

@@ -16,7 +16,7 @@ from lodestack.plans.csv_ingest import csv_to_parquet as convert
 from lodestack.session import shared_folder
 from lodestack.sources.csv import CsvJob
 from lodestack.sources.files import hash_files, read_json_lines
-from lodestack.sources.tables import write_snapshot
+from lodestack.sources.tables import read_snapshot, write_snapshot
 from lodestack.streaming import jobs as st
 from workload.logs import event_lines
 from workload.metadata import STATES_SQL, job_log
@@ -48,7 +48,7 @@ def csv_of_texts(spark, sf_dir):
 @query("""SELECT c_custkey::VARCHAR AS key, c_name, c_acctbal FROM customer""")
 def snapshot(spark, sf_dir):
     path = write_snapshot(table(spark, sf_dir, "customer"), "c_custkey", fresh_folder(spark, "snapshot"))
-    rows = spark.read.schema("key string, record struct<c_name: string, c_acctbal: double>").json(path)
+    rows = read_snapshot(spark, path, "key string, record struct<c_name: string, c_acctbal: double>")
     return rows.select("key", "record.*")
 
 
