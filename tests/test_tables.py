@@ -11,7 +11,7 @@ from lodestack.operators.profile import dataset_column_stats, numeric_summary, p
 from lodestack.operators.sample import infer_sample_types, sample
 from lodestack.operators.search import search_terms
 from lodestack.operators.sql import open_database, run_readonly_sql, validate_sql
-from lodestack.operators.udf import run_grouped_function, verify_transform
+from lodestack.operators.udf import run_grouped_aggregate, run_grouped_function, verify_transform
 from lodestack.plans.csv_ingest import csv_to_parquet
 from lodestack.sources.csv import CsvJob, CsvReadError, ends_open, read_csv, sniff
 from lodestack.sources.files import hash_files
@@ -347,3 +347,30 @@ def test_user_functions(spark):
     assert {(r.k, r.s) for r in total.collect()} == {(0, 20), (1, 25)}
     with pytest.raises(Exception, match="must return an object"):
         run_grouped_function(df, ["k"], lambda key, frames: 5, "k bigint").collect()
+
+
+def test_grouped_aggregate_sends_states(spark, monkeypatch):
+    rows = [("a" if n % 3 else None, n % 2, float(n)) for n in range(1, 1001)] + [("b", None, 5.0), ("c", 7, None)]
+    df = spark.createDataFrame(rows, "k string, g int, x double").repartition(6)
+
+    def partial(frame):
+        return {"n": len(frame), "total": float(frame.x.sum()), "seen": 1}
+
+    def merge(a, b):
+        return {c: a[c] + b[c] for c in a}
+
+    def finish(key, held):
+        return [{"k": key[0], "g": key[1], **held}] if held["n"] else []
+
+    got = run_grouped_aggregate(df, ["k", "g"], partial, merge, finish, "n bigint, total double, seen bigint", "k string, g int, n bigint, total double, seen bigint")
+    found = {(r.k, r.g): (r.n, r.total) for r in got.collect()}
+    want = {}
+    for k, g, x in rows:
+        n, total = want.get((k, g), (0, 0.0))
+        want[k, g] = n + 1, total + (x or 0.0)
+    assert found == want
+    with pytest.raises(ValueError, match="named like keys: k"):
+        run_grouped_aggregate(df, ["k"], partial, merge, finish, "k string, n bigint", "k string")
+    with pytest.raises(Exception, match="must return an object"):
+        run_grouped_aggregate(df, ["k"], partial, merge, lambda key, held: 5, "n bigint, total double, seen bigint", "k string").collect()
+    assert run_grouped_aggregate(df.limit(0), ["k", "g"], partial, merge, finish, "n bigint, total double, seen bigint", "k string, n bigint").count() == 0

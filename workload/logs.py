@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators import logs as lg
-from lodestack.operators.udf import run_grouped_function
+from lodestack.operators.udf import run_grouped_aggregate
 from workload.registry import query, table
 
 
@@ -93,16 +93,18 @@ def check_response(spark, sf_dir):
 SELECT l_returnflag, l_linestatus, 'points' AS type, count(*) AS n, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_price,
   max(l_extendedprice) AS highest FROM lineitem GROUP BY ALL""")
 def grouped_function(spark, sf_dir):
-    def chart(key, frames):
-        n, money, quantity, highest = 0, 0.0, 0.0, float("-inf")
-        for frame in frames:
-            n += len(frame)
-            money += float((frame.l_extendedprice * frame.l_quantity).sum())
-            quantity += float(frame.l_quantity.sum())
-            highest = max(highest, float(frame.l_extendedprice.max()))
+    def partial(frame):
+        money, quantity = (frame.l_extendedprice * frame.l_quantity).sum(), frame.l_quantity.sum()
+        return {"n": len(frame), "money": float(money), "quantity": float(quantity), "most": float(frame.l_extendedprice.max())}
+
+    def merge(a, b):
+        return {**{c: a[c] + b[c] for c in ("n", "money", "quantity")}, "most": max(a["most"], b["most"])}
+
+    def chart(key, total):
         names = dict(zip(("l_returnflag", "l_linestatus"), key))
-        return {**names, "type": "points", "n": n, "weighted_price": round(money / quantity, 4), "highest": highest}
+        return {**names, "type": "points", "n": total["n"], "weighted_price": round(total["money"] / total["quantity"], 4), "highest": total["most"]}
 
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
     schema = "l_returnflag string, l_linestatus string, type string, n bigint, weighted_price double, highest double"
-    return run_grouped_function(rows, ["l_returnflag", "l_linestatus"], chart, schema)
+    state = "n bigint, money double, quantity double, most double"
+    return run_grouped_aggregate(rows, ["l_returnflag", "l_linestatus"], partial, merge, chart, state, schema)
