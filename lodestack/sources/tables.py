@@ -19,13 +19,14 @@ def write_parquet(df: DataFrame, path: str) -> str:
 POINTER = "CURRENT"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _current_version(spark: SparkSession, path: str) -> str | None:
-    where, system = _file_system(spark, f"{path}/{POINTER}")
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """What the pointer below `path` says, if there is one."""
+    where, system = file_system(spark, f"{path}/{POINTER}")
     if not system.exists(where):
         return None
     stream = system.open(where)
@@ -35,6 +36,19 @@ def _current_version(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def switch_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """Makes the pointer below `path` say `text`, in one rename."""
+    draft, system = file_system(spark, f"{path}/.{uuid.uuid4().hex}")
+    stream = system.create(draft, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    mode = spark.sparkContext._gateway.new_array(options, 1)
+    mode[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(draft, file_system(spark, f"{path}/{POINTER}")[0], mode)
+
+
 def write_snapshot(table: DataFrame, key: str, path: str) -> str:
     """The whole table as JSON lines `{"key": …, "record": {…}}` in a version of its own below `path`.
 
@@ -43,18 +57,11 @@ def write_snapshot(table: DataFrame, key: str, path: str) -> str:
     """
     spark = table.sparkSession
     rows = table.select(F.col(key).cast("string").alias("key"), F.struct(*table.columns).alias("record"))
-    before, version = _current_version(spark, path), f"version-{uuid.uuid4().hex}"
+    before, version = read_pointer(spark, path), f"version-{uuid.uuid4().hex}"
     rows.write.json(f"{path}/{version}")
-    draft, system = _file_system(spark, f"{path}/.{version}")
-    stream = system.create(draft, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    mode = spark.sparkContext._gateway.new_array(options, 1)
-    mode[0] = options.OVERWRITE
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
-    context.rename(draft, _file_system(spark, f"{path}/{POINTER}")[0], mode)
-    others = [e.getPath() for e in system.listStatus(_file_system(spark, path)[0]) if e.getPath().getName().startswith("version-")]
+    switch_pointer(spark, path, version)
+    system = file_system(spark, path)[1]
+    others = [e.getPath() for e in system.listStatus(file_system(spark, path)[0]) if e.getPath().getName().startswith("version-")]
     for old in others:
         if old.getName() not in (version, before):
             system.delete(old, True)
@@ -63,7 +70,7 @@ def write_snapshot(table: DataFrame, key: str, path: str) -> str:
 
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of the version that the pointer names now."""
-    version = _current_version(spark, path)
+    version = read_pointer(spark, path)
     if version is None:
         raise FileNotFoundError(f"no snapshot at {path}")
     return spark.read.schema(schema).json(f"{path}/{version}")

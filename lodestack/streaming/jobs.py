@@ -12,17 +12,13 @@ from lodestack.operators.metadata import job_states, latest
 from lodestack.session import cut_lineage
 from lodestack.sources.csv import read_typed
 from lodestack.sources.files import with_hashes
+from lodestack.streaming.compaction import fold_batches, read_batches
 
 
 def _folder(path: str, batch: int) -> str:
     return f"{path}/batch={batch}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def stream_csv_drops(
     spark: SparkSession, drops: str, schema: T.StructType, user: str, out: str, checkpoint: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
@@ -44,10 +40,9 @@ def stream_csv_drops(
     def load(batch: DataFrame, number: int) -> None:
         names = cut_lineage(with_hashes(batch))
         first = names.groupBy("file_hash").agg(F.min("path").alias("path"), F.min_by("length", "path").alias("file_size"))
-        if _exists(spark, catalog):
-            known = spark.read.schema("file_hash string, user string, batch int").parquet(catalog)
-            earlier = known.where((F.col("batch") < number) & (F.col("user") == user))
-            first = first.join(earlier.select("file_hash"), "file_hash", "left_anti")
+        known = read_batches(spark, catalog, "file_hash string, user string, batch int", before=number)
+        if known is not None:
+            first = first.join(known.where(F.col("user") == user).select("file_hash"), "file_hash", "left_anti")
         record = first.select(
             F.concat(F.substring("file_hash", 1, 12), F.lit("-"), F.substring(F.sha2("path", 256), 1, 32)).alias("file_id"),
             F.lit(user).alias("user"),
@@ -71,6 +66,16 @@ def stream_csv_drops(
     return source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def dropped_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The typed rows of all dropped files, with file_id."""
+    return read_batches(spark, f"{out}/rows").drop("batch")
+
+
+def fold_drops(spark: SparkSession, out: str, files: int = 1) -> int:
+    """Folds earlier batches of catalog, arrivals and rows into `files` files each; the number of catalog batches folded."""
+    return [fold_batches(spark, f"{out}/{part}", None, files) for part in ("files", "arrivals", "rows")][0]
+
+
 def stream_job_states(states: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Appends each batch's summary per job (job_id, state, at, error). `current_jobs` merges the batches on reading,
     so no batch rewrites the table."""
@@ -83,7 +88,15 @@ def stream_job_states(states: DataFrame, out: str, checkpoint: str) -> Streaming
 
 def current_jobs(spark: SparkSession, out: str) -> DataFrame:
     """One row per job over all batches, as `job_states` over the whole log would give."""
-    parts = spark.read.parquet(out)
+    return _merged_jobs(read_batches(spark, out))
+
+
+def fold_jobs(spark: SparkSession, out: str, files: int = 1) -> int:
+    """Folds earlier batches into one row per job."""
+    return fold_batches(spark, out, _merged_jobs, files)
+
+
+def _merged_jobs(parts: DataFrame) -> DataFrame:
     last = F.struct("updated_at", "state")
     return parts.groupBy("job_id").agg(
         F.max_by("state", last).alias("state"),
@@ -108,4 +121,14 @@ def stream_final_messages(events: DataFrame, out: str, checkpoint: str) -> Strea
 
 
 def current_final_messages(spark: SparkSession, out: str) -> DataFrame:
-    return latest(spark.read.parquet(out).drop("batch"), ["run_id"], "seq")
+    """The last message of each run over all batches."""
+    return _last_messages(read_batches(spark, out).drop("batch"))
+
+
+def fold_final_messages(spark: SparkSession, out: str, files: int = 1) -> int:
+    """Folds earlier batches into one row per run."""
+    return fold_batches(spark, out, _last_messages, files)
+
+
+def _last_messages(parts: DataFrame) -> DataFrame:
+    return latest(parts, ["run_id"], "seq")

@@ -99,7 +99,7 @@ def stream_csv_drops(spark, sf_dir):
     for _ in range(2):
         customers.repartition(4, "c_custkey").sortWithinPartitions("c_custkey").write.mode("append").option("header", True).csv(drops)
         st.stream_csv_drops(spark, drops, DROP, "u", out, check).awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch", "file_id")
+    return st.dropped_rows(spark, out).drop("file_id")
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -109,7 +109,7 @@ def stream_csv_texts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.repartition(3).write.options(header=True, quote='"', escape='"').csv(drops)
     st.stream_csv_drops(spark, drops, docs.schema, "u", out, check).awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch", "file_id")
+    return st.dropped_rows(spark, out).drop("file_id")
 
 
 def _stream(spark, sf_dir, name: str, files: int = 3):
@@ -124,6 +124,7 @@ def _stream(spark, sf_dir, name: str, files: int = 3):
 def stream_job_states(spark, sf_dir):
     out = fresh_folder(spark, "states")
     st.stream_job_states(job_log(_stream(spark, sf_dir, "events")), out, fresh_folder(spark, "states-check")).awaitTermination()
+    st.fold_jobs(spark, out)
     return st.current_jobs(spark, out)
 
 
