@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.session import shared_folder
@@ -36,3 +42,29 @@ class Scratch:
             for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """The name, or one made longer that no column has in any spelling."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    if bpe := sys.modules.get("lodestack.llm.bpe"):
+        bpe.codec.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+    time.sleep(0.05)  # so that tasks spread over all workers
+
+
+def give_back_memory(spark: SparkSession) -> None:
+    """Lets the Python workers, which Spark uses again, return what earlier jobs left in them: caches and freed memory."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).mapInArrow(_give_back, "id bigint").write.format("noop").mode("overwrite").save()

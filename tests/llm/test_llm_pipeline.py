@@ -64,3 +64,32 @@ def test_near_dedup_of_the_given_documents(spark):
     top = brute_components([(r.doc_id, r.text) for r in given])
     left = [r for r in given if top[r.doc_id] == r.doc_id]
     assert len(left) < len(given) and Counter(corpus_pipeline.near_dedup(spark, docs, SMALL).collect()) == Counter(left)
+
+
+def test_near_dedup_goes_by_row(spark):
+    """Repeated ids, null ids and texts, names that clash, and no other columns than these."""
+    a, b = " ".join(f"w{n}" for n in range(60)), " ".join(f"v{n}" for n in range(60))
+    rows = [(3, a, "x", 1), (5, a + " tail", "x", 2), (5, b, "x", 3), (7, None, "x", 4), (7, None, "x", 5), (None, b, "x", 6), (None, "", "x", 7), (9, a, "x", 8), (9, "one", "x", 9), (9, "one", "x", 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string, component_id int")
+    left = sorted(r.component_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect())
+    assert left[:-1] == [1, 3, 4, 5, 7] and left[-1] in (9, 10)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SMALL).columns == docs.columns
+
+
+def test_stages_of_odd_rows(spark, scratch, odd_rows):
+    given = [(i, t, "en", s, "x", "x", "x") for i, t, s in odd_rows]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, score string, kept_text string, r string")
+    for table in (docs, docs.limit(0)):
+        before = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = scratch.put(stage(spark, before, SMALL))
+            assert after.columns == docs.columns and after.count() <= 2 * before.count(), name
+            if before.count() == 0:
+                assert after.count() == 0
+            before = after
+    lines = corpus_pipeline.line_dedup(spark, docs, SMALL).collect()
+    assert sum(r.text is None for r in lines) == 1 and all(r.kept_text == "x" for r in lines)
+    kept = {(r.doc_id, r.text) for r in lines}
+    want = {(i, t) for i, (_, t) in brute_lines([(i, t) for i, t, _ in odd_rows if i is not None and i != 5]).items()}
+    assert (1, None) in kept and (2, "") in kept and {i for i, _ in kept} <= {i for i, _, _ in odd_rows} and want
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(odd_rows)
