@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from lodestack.llm.words import slices
 
 #: Distinct pieces that a task remembers; beyond, it forgets all of them and goes on.
-MEMORY = 300_000
+MEMORY = 150_000
+#: Pieces that are encoded in one call.
+AT_ONCE = 4_096
 
 
 def byte_characters() -> dict[int, str]:
@@ -98,8 +100,10 @@ class Codec:
         if len(self.pieces) + len(new) > MEMORY:
             self.pieces.clear()
             new = sorted(pieces)
-        for piece, found in zip(new, self.model.encode_batch_fast([self.write(p) for p in new], add_special_tokens=False)):
-            self.pieces[piece] = np.array(found.ids, "<u4").tobytes()
+        for start in range(0, len(new), AT_ONCE):  # an encoding takes far more memory than its ids
+            some = new[start : start + AT_ONCE]
+            for piece, found in zip(some, self.model.encode_batch_fast([self.write(p) for p in some], add_special_tokens=False)):
+                self.pieces[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
