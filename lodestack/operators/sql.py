@@ -56,7 +56,7 @@ def _wrapped(sql: str) -> str:
 def _trimmed(sql: str) -> str:
     text = (sql or "").strip()
     if not text:
-        raise ValueError("Query is empty")
+        raise ValueError("no statement: the text is empty")
     return text[:-1].rstrip() if text.endswith(";") else text
 
 

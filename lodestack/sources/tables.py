@@ -94,9 +94,9 @@ def find_dataset(files: DataFrame, file_id: str, user: str | None = None) -> tup
     # Two rows are enough to tell none, one and several apart.
     rows = hits.select("artifact_path", "user", exact.alias("exact")).orderBy(F.desc("exact")).limit(2).collect()
     if not rows:
-        raise FileNotFoundError(f"No artifact found for file_id={file_id}")
+        raise FileNotFoundError(f"no dataset is stored for {file_id!r}")
     if len(rows) > 1 and not rows[0].exact:
-        raise ValueError(f"Multiple artifacts found for file_id={file_id}; specify the user")
+        raise ValueError(f"{file_id!r} belongs to several users; say which")
     return rows[0].artifact_path, rows[0].user
 
 

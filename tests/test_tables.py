@@ -107,7 +107,7 @@ def test_datasets(spark):
     assert [(r.user_id, r.file_id) for r in list_datasets(files).collect()] == [("a", "f1"), ("a", "f2"), ("b", "f2")]
     assert find_dataset(files, "f2", "b") == ("p3", "b")
     assert find_dataset(files, "f1", "zz") == ("p1", "a")
-    with pytest.raises(ValueError, match="Multiple"):
+    with pytest.raises(ValueError, match="several users"):
         find_dataset(files, "f2")
     with pytest.raises(FileNotFoundError):
         find_dataset(files, "f3")
