@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Pivots are a bounded sample of the rows of each width, those
+Nearness is the inner product, so length counts: every row gets one more component that brings it to the greatest length of its
+block, and a query a zero there, after which the largest inner product is the smallest angle. A vector is represented by its nearest pivots in order. Pivots are a bounded sample of the rows of each width, those
 with the smallest hashed ids; every row is indexed. In each block of rows a pivot's inverted file lists the rows that have it among their
 nearest, with its place there. For a query the files of its own nearest pivots are read; a row's footrule distance, with a
 missing pivot counted as last, is a constant less twice the sum of (kept - the later of both places) over common pivots. The
@@ -33,6 +34,15 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, kept: int) -> np.ndarray:
     return np.argsort(-(x / np.maximum(length, 1e-300)) @ pivots.T, axis=1, kind="stable")[:, :kept]
 
 
+def lifted(x: np.ndarray) -> np.ndarray:
+    """The rows with one more component, so that all are of length 1 with the longest row as the unit."""
+    longest = max(np.abs(x).max(initial=0.0), 1e-300)
+    x = x / longest  # no overflow in the squares
+    squares = np.einsum("ij,ij->i", x, x)
+    most = squares.max(initial=1e-300)
+    return np.column_stack([x / np.sqrt(most), np.sqrt(np.maximum(1 - squares / most, 0))])
+
+
 class InvertedFiles:
     """For each pivot the rows that keep it, and its place there."""
 
@@ -101,26 +111,26 @@ def approximate_top_k(
     non-finite components take no part; vectors of different widths do not meet. Rows that share a query's id are its own and no
     candidates; other repeated rows are candidates each. With fewer than k candidates all are returned. Of equal vectors those
     with the smallest ids are found, however many there are. At the defaults the
-    recall at 20 on unrelated directions of width 64 is above 0.95; tests hold it above 0.9.
+    recall at 20 on unrelated directions of width 64 is above 0.95, at equal and at widely varying lengths; tests hold it above
+    0.9. With `reranked=1.0` every row is ranked again and the result is exact.
     """
     rows = usable(vectors, vec_id, vector).where(F.exists("v", lambda x: x != 0))
     sample = sampled(rows, pivots).toArrow()
     by_width: dict[int, np.ndarray] = {}
     for width, count in zip(*np.unique(np.asarray(sample["d"]), return_counts=True)):
         if count >= min(pivots, LEAST_PIVOTS):
-            x = matrix(sample.filter(np.asarray(sample["d"]) == width)["v"])
-            by_width[int(width)] = x / np.linalg.norm(x, axis=1, keepdims=True)
+            by_width[int(width)] = lifted(matrix(sample.filter(np.asarray(sample["d"]) == width)["v"]))
     shipped = vectors.sparkSession.sparkContext.broadcast(by_width)
 
     def search(query_ids, queries, ids, x):
         centres = shipped.value.get(x.shape[1])
-        centres = np.eye(1, x.shape[1]) if centres is None else centres  # a width of few rows
+        centres = np.eye(1, x.shape[1] + 1) if centres is None else centres  # a width of few rows
         copies = Copies(x)
-        index, columns = InvertedFiles(copies.vectors, centres, min(kept, len(centres))), np.ascontiguousarray(copies.vectors.T)
+        index, columns = InvertedFiles(lifted(copies.vectors), centres, min(kept, len(centres))), np.ascontiguousarray(copies.vectors.T)
         most = max(AT_LEAST, 20 * k, int(reranked * len(x))) if len(centres) > 1 else len(x)
         most = min(len(copies.vectors), most)
         numbers, places, scores = [], [], []
-        for n, order in enumerate(nearest_pivots(queries, centres, min(kept, len(centres)))):
+        for n, order in enumerate(nearest_pivots(np.column_stack([queries, np.zeros(len(queries))]), centres, min(kept, len(centres)))):
             agree = index.agreement(order).astype(np.int64)
             own = np.flatnonzero(ids == query_ids[n])
             held, without = np.unique(copies.of[own], return_counts=True)

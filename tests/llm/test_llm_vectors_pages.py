@@ -97,6 +97,21 @@ def test_permutation_index(spark):
     assert all(math.isclose(s, exact[q, i], rel_tol=1e-12, abs_tol=1e-12) for q, v in got.items() for i, s in v)
 
 
+@pytest.mark.parametrize("spread, reranked, least", [(0.25, 0.15, 0.9), (0.5, 0.15, 0.9), (1.0, 0.15, 0.9), (1.0, 1.0, 1.0)])
+def test_permutation_index_of_varied_lengths(spark, spread, reranked, least):
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(6000, 32))
+    x *= np.exp(spread * draw.normal(size=(6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = rows_of(x)
+    got = found(approximate_top_k(frame(spark, rows), F.col("id") % 60 == 0, k=20, reranked=reranked))
+    x, hits = np.array([r[1] for r in rows]), 0
+    for q, v in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len({i for i, _ in v} & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 100 and hits >= least * 20 * len(got)
+
+
 def test_permutation_index_with_few_and_odd_rows(spark):
     rows = [*ODD, *[(1000 + n, [1.0, 0.0, 0.5], 1, "x", "x", "x") for n in range(30)]]
     got, want = found(approximate_top_k(frame(spark, rows), every(), k=20)), brute(rows, 20, False, True)
