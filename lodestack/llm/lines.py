@@ -211,10 +211,12 @@ def lines_to_keep(texts: DataFrame, scratch, percent: int) -> DataFrame:
         rows = df.select("name", "n", "sketch", "wide", *more, F.explode(F.arrays_zip("words", "at")).alias("w"))
         return rows.select(F.col("w.words").alias("word"), "name", "n", (F.col("w.at") % MARK).alias("at"), "sketch", "wide", *more, (F.col("w.at") >= MARK).alias("crowded"))
 
-    def matched(pairs: DataFrame) -> DataFrame:
-        """The names x of the pairs (x, y) in which y comes first and that reach the threshold."""
+    def matched(pairs: DataFrame, both: bool = False) -> DataFrame:
+        """Of the pairs (x, y) that reach the threshold the later names x: those with y first or, with `both`, whichever is later."""
         ordered = pairs.distinct().join(orders.select(F.col("name").alias("x"), F.col("first").alias("first_x")), "x").join(orders.select(F.col("name").alias("y"), F.col("first").alias("first_y")), "y")
-        pairs = scratch.put(ordered.where("first_y < first_x").select("x", "y"))
+        forward = F.col("first_y") < F.col("first_x")
+        turned = ordered.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("y"))
+        pairs = scratch.put(turned if both else ordered.where(forward).select("x", "y"))
         ends = pairs.select(F.col("x").alias("name")).unionByName(pairs.select(F.col("y").alias("name"))).distinct()
         wanted = scratch.put(sets.select("name", "r", "line").join(ends, "name"))
         chosen = bit_filter(wanted.select("r", "line").mapInArrow(_placed, "o bigint"), F.col("o"), FILTER_BITS)
@@ -233,10 +235,10 @@ def lines_to_keep(texts: DataFrame, scratch, percent: int) -> DataFrame:
     gone = matched(star.select(F.col("x.name").alias("x"), F.col("y.name").alias("y")))
     scratch.drop(rows, earliest, counts)
 
-    # one frame on both sides, so that it is exchanged once
+    # each pair once and a condition that is alike for both sides, so that one exchange serves them
     marked = posted(sets.join(gone, sets["name"] == gone["x"], "left").select("name", "n", "sketch", "wide", "words", "at", F.isnull("x").cast("tinyint").alias("open")), "open").drop("crowded")
-    pairs = marked.alias("x").join(marked.alias("y"), F.col("x.word") == F.col("y.word")).where("x.open = 1").where(_could_match(percent))
-    late = matched(pairs.select(F.col("x.name").alias("x"), F.col("y.name").alias("y")))
+    met = marked.alias("x").join(marked.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.open") + F.col("y.open") > 0) & _could_match(percent))
+    late = matched(met.select(F.col("x.name").alias("x"), F.col("y.name").alias("y")), both=True)
     all_gone = gone.unionByName(late)
     return sets.join(all_gone, sets["name"] == all_gone["x"], "left_anti").select("r", "line")
 
