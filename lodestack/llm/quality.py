@@ -44,7 +44,7 @@ def _buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = _index_vectors()
     sums, counts = np.zeros(BUCKETS * WIDTH), np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, "text", 1 << 21):
+    for batch in slices(batches, "text", 1 << 19):
         rows, first = _buckets(batch.column(0))
         counts += np.bincount(rows, minlength=BUCKETS)
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -83,7 +83,7 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     rows, first = _buckets(column)
     count = np.diff(first)
     out = np.zeros((len(count), 2 * WIDTH + 1))
-    start, most = 0, 1 << 17
+    start, most = 0, 1 << 15
     while start < len(count):
         end = max(start + 1, int(np.searchsorted(first, first[start] + most, "right")) - 1)
         for low in range(first[start], first[end], most):  # a long text in several parts
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, doc_id: str
     shipped = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             x = pooled(batch.column(2), shipped.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
@@ -186,7 +186,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shipped.value
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 1 << 19):
             found = network.scores(pooled(batch.column(0), vectors))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], names=[*keep, name])
 
