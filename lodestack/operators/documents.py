@@ -41,7 +41,7 @@ ITEM_SPANS = T.ArrayType(
 )
 
 
-def _spans(text: str | None) -> list[tuple]:
+def text_spans(text: str | None) -> list[tuple]:
     if text is None:
         return []
     found = []
@@ -61,7 +61,7 @@ def _spans(text: str | None) -> list[tuple]:
 @F.pandas_udf(ITEM_SPANS)
 def item_spans(texts: pd.Series) -> pd.Series:
     """Where the items of each text are, in scan order; Spark's own regex functions give no offsets."""
-    return texts.map(_spans)
+    return texts.map(text_spans)
 
 
 def with_items(docs: DataFrame, text: str = "text") -> DataFrame:

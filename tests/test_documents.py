@@ -6,6 +6,7 @@ from lodestack.functions.text import clean_markup, render_image, render_table, t
 from lodestack.operators.chunks import extract_chunks, with_chunks
 from lodestack.operators.documents import dedupe_logos, find_items, normalize_paragraphs
 from lodestack.operators.figures import figure_boxes, splice_figures
+from lodestack.operators.table_functions import register_table_functions
 from lodestack.plans.documents import chunk_documents
 
 
@@ -171,3 +172,14 @@ def test_figures(spark):
     rows = figure_boxes(df).orderBy("figure_no").collect()
     assert [(r.figure_id, r.x0, r.y1) for r in rows] == [("f", 72.0, 288.0), ("figure-2", 72.0, 288.0)]
     assert splice_figures(df).first().text == "01\n![f](images/h/f.png)\n56\n![figure-2](images/h/figure-2.png)\n89"
+
+
+def test_table_function_of_odd_texts(spark):
+    register_table_functions(spark)
+    long = "a\n" * 50_000 + "![x](p/q.png)"
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "no items"), (4, "a\n![x](y.png)\nb"), (4, "![x](y.png)"), (5, long)], "id bigint, text string")
+    got = spark.sql("SELECT id, kind, number, line_number, original_match, before, after FROM {docs}, LATERAL text_items(text)", docs=docs).collect()
+    rows = sorted((r.id, r.line_number, r.original_match, tuple(r.before), tuple(r.after)) for r in got)
+    assert rows == [(4, 0, "![x](y.png)", (), ()), (4, 1, "![x](y.png)", ("a",), ("b",)), (5, 50_000, "![x](p/q.png)", ("a",) * 5, ())]
+    assert all(r.kind == "image" and r.number == 1 for r in got)
+    assert spark.sql("SELECT * FROM {docs}, LATERAL text_items(text)", docs=docs.limit(0)).count() == 0

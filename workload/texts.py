@@ -10,6 +10,7 @@ from lodestack.operators import chunks as ch
 from lodestack.operators import documents as dc
 from lodestack.operators.figures import figure_boxes as boxes
 from lodestack.operators.figures import splice_figures as spliced
+from lodestack.operators.table_functions import register_table_functions
 from lodestack.plans.documents import chunk_documents, document_counts
 from workload.registry import query, table
 
@@ -164,6 +165,19 @@ def find_items(spark, sf_dir):
     )
 
 
+@query(f"SELECT * EXCLUDE (content) FROM ({ITEMS_SQL})")
+def items_in_sql(spark, sf_dir):
+    register_table_functions(spark)
+    docs = markdown(spark, sf_dir).withColumn("text", tx.clean_markup(F.col("text")))
+    return spark.sql(
+        """SELECT doc_id, CASE kind WHEN 'image' THEN 'image' ELSE 'table' END AS item_type,
+ CASE kind WHEN 'image' THEN doc_id || '.png' WHEN 'pipe' THEN 'table-' || number ELSE 'table-html-' || number END AS identifier,
+ start_pos, end_pos, line_number, array_join(before, '\\n') AS before, array_join(after, '\\n') AS after
+FROM {docs}, LATERAL text_items(text)""",
+        docs=docs,
+    )
+
+
 @query(f"""
 SELECT doc_id, identifier, 'Context:' || chr(10) || before || chr(10) || CASE item_type WHEN 'image' THEN '[IMAGE HERE]' ELSE '[TABLE HERE]' END
   || CASE WHEN after = '' AND n_after = 0 THEN '' ELSE chr(10) || after END || chr(10) || chr(10)
