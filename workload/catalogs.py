@@ -122,6 +122,39 @@ def table_details(spark, sf_dir):
     return joined.withColumn("data_type", catalog.declared_type(F.col("data_type"))).drop("table_name")
 
 
+# What a definition says of nulls, defaults and actions, from the lines behind a column or link.
+@query("""
+WITH lines AS (SELECT 'u' || (l_suppkey // 10) AS user_id, 'f' || l_suppkey AS file_id, l_linenumber AS n, l_quantity, l_tax
+  FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
+columns AS (SELECT user_id, file_id, 'c' || n AS column_name, n AS ordinal, min(l_tax) > 0 AS not_null,
+    CASE WHEN max(l_quantity) < 40 THEN 'v' || max(l_quantity)::INTEGER END AS default_value FROM lines GROUP BY ALL),
+links AS (SELECT user_id, file_id, 'c' || n AS column_name, CASE WHEN max(l_tax) > 0.07 THEN 'CASCADE' ELSE 'NO ACTION' END AS on_update,
+    CASE WHEN min(l_quantity) < 5 THEN 'SET NULL' ELSE 'RESTRICT' END AS on_delete FROM lines WHERE n > 4 GROUP BY ALL)
+SELECT user_id, file_id, column_name, ordinal, not_null, default_value, on_update, on_delete
+FROM columns LEFT JOIN links USING (user_id, file_id, column_name)""")
+def table_details_defaults(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("u"), F.expr("l_suppkey div 10").cast("string")).alias("user_id"),
+        F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file_id"),
+        F.concat(F.lit("t"), "l_returnflag", "l_linestatus").alias("table_name"),
+        F.col("l_linenumber").alias("ordinal"),
+        "l_quantity",
+        "l_tax",
+    )
+    most = F.max("l_quantity")
+    name = F.concat(F.lit("c"), F.col("ordinal").cast("string"))
+    columns = lines.groupBy(*BY, "ordinal").agg(
+        (F.min("l_tax") > 0).alias("not_null"),
+        F.when(most < 40, F.concat(F.lit("v"), most.cast("int").cast("string"))).alias("default_value"),
+    )
+    keys = lines.where(F.col("ordinal") > 4).groupBy(*BY, "ordinal").agg(
+        F.when(F.max("l_tax") > 0.07, "CASCADE").otherwise("NO ACTION").alias("on_update"),
+        F.when(F.min("l_quantity") < 5, "SET NULL").otherwise("RESTRICT").alias("on_delete"),
+    )
+    mine, links = catalog.table_details(columns.withColumn("column_name", name), keys.withColumn("column_name", name), "tRF")
+    return mine.join(links.drop("ordinal"), [*BY, "column_name"], "left").drop("table_name")
+
+
 ISSUES_SQL = DB_SQL + """, known AS (SELECT DISTINCT user_id, file_id, table_name FROM columns),
 specced AS (SELECT DISTINCT user_id, file_id, table_name FROM spec_columns),
 common AS (SELECT * FROM known INTERSECT SELECT * FROM specced),

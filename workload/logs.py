@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.responses import two_keys
 from lodestack.operators import logs as lg
 from lodestack.operators.udf import run_grouped_aggregate
 from workload.registry import query, table
@@ -89,6 +90,40 @@ def check_response(spark, sf_dir):
     return lg.check_response(messages(table(spark, sf_dir, "events")), "db").drop("text", "one")
 
 
+# The rule for document answers has no choice of response types, so another type passes.
+@query("""
+SELECT event_id, event_type IN ('view', 'click', 'purchase') AS valid,
+  CASE event_type WHEN 'signup' THEN 'misleading: boolean required' WHEN 'error' THEN 'no JSON object found' END AS reason FROM events""")
+def check_doc_response(spark, sf_dir):
+    checked = lg.check_response(messages(table(spark, sf_dir, "events")), "doc")
+    return checked.select("event_id", "valid", "reason")
+
+
+def pair_messages(events: DataFrame) -> DataFrame:
+    """A question and an answer per event: whole, in prose, with a number for the answer, without a question, none."""
+    user, what = F.col("user_id").cast("string"), F.col("event_type")
+    question = F.concat(F.lit('{"question": "'), what, F.lit('", "answer": '))
+    quoted = F.concat(question, F.lit('"'), user, F.lit('"}'))
+    text = (
+        F.when(what == "view", quoted)
+        .when(what == "click", F.concat(F.lit("Reply: "), quoted, F.lit(" end")))
+        .when(what == "purchase", F.concat(question, user, F.lit("}")))
+        .when(what == "signup", F.concat(F.lit('{"answer": "'), user, F.lit('"}')))
+        .otherwise(user)
+    )
+    return events.select("event_id", text.alias("text"))
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'click' THEN 'braces' ELSE 'direct' END AS how,
+  event_type IN ('view', 'click') AS valid,
+  CASE event_type WHEN 'purchase' THEN 'answer: string required' WHEN 'signup' THEN 'question: string required'
+   WHEN 'error' THEN 'not an object' END AS reason FROM events""")
+def check_pair_response(spark, sf_dir):
+    pairs = lg.extract_json(pair_messages(table(spark, sf_dir, "events")), kind=two_keys("question", "answer"))
+    return pairs.select("event_id", "how", F.col("reason").isNull().alias("valid"), "reason")
+
+
 @query("""
 SELECT l_returnflag, l_linestatus, 'points' AS type, count(*) AS n, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_price,
   max(l_extendedprice) AS highest FROM lineitem GROUP BY ALL""")

@@ -117,6 +117,20 @@ def load_mappings(spark, sf_dir):
     return spark.read.parquet(path).drop("prefix")
 
 
+# Records of every second chunk, and of chunks that are not there.
+@query(f"""
+WITH c AS ({MAPPING_SQL.format(k='doc_id', c='text', s='chr(10)', t='documents')})
+SELECT input_file_hash, chunk_order, 'new-' || input_file_hash || '-' || chunk_order AS record_id, chunk FROM c WHERE chunk_order % 2 = 1""")
+def align_chunks(spark, sf_dir):
+    chunks = _mappings(table(spark, sf_dir, "documents"), "doc_id", "text", "\n")
+    order = F.col("chunk_order")
+    known = chunks.where(order % 2 == 1)
+    unknown = chunks.withColumn("chunk_order", -1 - order)
+    ids = known.unionByName(unknown).select("input_file_hash", "chunk_order")
+    records = ids.withColumn("record_id", F.concat_ws("-", F.lit("new"), "input_file_hash", order.cast("string")))
+    return md.align_chunks(records, chunks)
+
+
 @query("SELECT * FROM part")
 def read_dataset(spark, sf_dir):
     """An artifact of a user looked up in the catalog; another user has a file of the same id."""
