@@ -140,38 +140,56 @@ def splice(text: Column, pieces: Column) -> Column:
     return F.aggregate(F.reverse(F.array_sort(pieces)), text, put)
 
 
-def splice_fallbacks(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
-    """Replaces the `items` of `with_items` by their fallback blocks, within the row.
+def splice_nested(text: Column, pieces: Column) -> Column:
+    """`text` with its pieces replaced from the first to the last, none of them lost.
 
-    An image inside a table would be spliced twice; only `strict=True` does that, otherwise inner items are left out.
+    `pieces` is array<struct<start, order, end, value>>, the widest first among equal starts. A piece that begins inside the stretch replaced
+    before it puts its value on a line of its own after that stretch's, and the stretch reaches to the later end of the two.
     """
-    used = F.col("items") if strict else F.filter("items", lambda i: ~i["inner"])
 
-    def piece(item: Column) -> Column:
+    def put(state: Column, piece: Column) -> Column:
+        inside = piece["start"] < state["reach"]
+        between = F.substring(text, state["reach"] + 1, piece["start"] - state["reach"])
         return F.struct(
-            item["start_pos"].alias("start"),
-            F.lit(0).alias("order"),
-            item["end_pos"].alias("end"),
-            fallback_block(item).alias("value"),
+            F.concat(state["body"], F.when(inside, F.lit("\n")).otherwise(between), piece["value"]).alias("body"),
+            F.greatest(state["reach"], piece["end"]).alias("reach"),
         )
 
-    return with_pinned(docs, **{text: splice(F.col(text), F.transform(used, piece))})
+    start = F.struct(F.lit("").alias("body"), F.lit(0).alias("reach"))
+    return F.aggregate(
+        F.array_sort(pieces), start, put, lambda state: F.concat(state["body"], F.substring(text, state["reach"] + 1, F.length(text)))
+    )
+
+
+def _piece(item: Column, value: Column, strict: bool) -> Column:
+    start, end = item["start_pos"], item["end_pos"]
+    order = F.lit(0) if strict else -end
+    return F.struct(start.alias("start"), order.alias("order"), end.alias("end"), value.alias("value"))
+
+
+def splice_fallbacks(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
+    """Replaces the `items` of `with_items` by their fallback blocks, within the row.
+
+    The block of an image inside a table follows the table's. `strict=True` splices it twice instead, by its place in the
+    text that the table's block has replaced.
+    """
+    pieces = F.transform("items", lambda item: _piece(item, fallback_block(item), strict))
+    spliced = splice(F.col(text), pieces) if strict else splice_nested(F.col(text), pieces)
+    return with_pinned(docs, **{text: spliced})
 
 
 def apply_replacements(
     docs: DataFrame, replaced: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", strict: bool = False
 ) -> DataFrame:
-    """Splices the `replacement` of item rows back into their documents. Only the replacements are grouped."""
-    rows = replaced if strict else replaced.where(~F.col("inner"))
-    piece = F.struct(
-        F.col("start_pos").alias("start"),
-        F.lit(0).alias("order"),
-        F.col("end_pos").alias("end"),
-        F.col("replacement").alias("value"),
-    )
-    pieces = rows.groupBy(*keys).agg(F.collect_list(piece).alias("_pieces"))
+    """Splices the `replacement` of item rows back into their documents, those inside another item after it (see `splice_fallbacks`).
+
+    Only the replacements are grouped. A document without any keeps its text.
+    """
+    item = F.struct("start_pos", "end_pos")
+    pieces = replaced.groupBy(*keys).agg(F.collect_list(_piece(item, F.col("replacement"), strict)).alias("_pieces"))
     joined = docs.join(pieces, list(keys), "left")
-    spliced = F.when(F.col("_pieces").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_pieces")))
+    put = splice if strict else splice_nested
+    spliced = F.when(F.col("_pieces").isNull(), F.col(text)).otherwise(put(F.col(text), F.col("_pieces")))
     return joined.withColumn(text, spliced).drop("_pieces")
 
 

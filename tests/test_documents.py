@@ -4,7 +4,14 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import clean_markup, render_image, render_table, truncate_text
 from lodestack.operators.chunks import extract_chunks, with_chunks
-from lodestack.operators.documents import dedupe_logos, find_items, normalize_paragraphs
+from lodestack.operators.documents import (
+    apply_replacements,
+    dedupe_logos,
+    find_items,
+    normalize_paragraphs,
+    splice_fallbacks,
+    with_items,
+)
 from lodestack.operators.figures import figure_boxes, splice_figures
 from lodestack.operators.table_functions import register_table_functions
 from lodestack.plans.documents import chunk_documents
@@ -79,11 +86,33 @@ def test_items_in_order_with_scan_numbers(spark):
 def test_image_inside_a_table(spark):
     text = "<table><td>![i](p/i.png)</td></table> end"
     plain = chunk_documents(docs(spark, text)).first()
-    assert plain.total_items == 2 and plain.processed.count("[Image") == 0
+    assert plain.total_items == 2 and plain.processed.count("[Image: i.png]") == 1
     strict = chunk_documents(docs(spark, text), strict=True).first()
     assert strict.processed != plain.processed
 
 
+def test_items_that_overlap_are_all_replaced(spark):
+    text = "a <table>|x|\n![i](p/i.png) ![j](p/j.png)</table> b ![k](k.png)"
+    items = find_items(docs(spark, text))
+    marks = items.withColumn("replacement", F.concat(F.lit("{"), "identifier", F.lit("}")))
+    got = apply_replacements(docs(spark, text), marks).first().text
+    assert got == "a {table-html-4}\n{i.png}\n{j.png} b {k.png}"
+    inner = apply_replacements(docs(spark, text), marks.where("inner")).first().text
+    assert inner == "a <table>|x|\n{i.png} {j.png}</table> b ![k](k.png)"
+    # A pipe table that begins in an HTML table and ends after it: the stretch reaches to the later end.
+    text = "<table>\n|a|b|\n|c|d|</table>|\nend"
+    marks = find_items(docs(spark, text)).withColumn("replacement", F.col("identifier"))
+    assert [r.inner for r in marks.collect()] == [False, True]
+    assert apply_replacements(docs(spark, text), marks).first().text == "table-html-2\ntable-1end"
+
+
+def test_documents_without_items_or_text_keep_it(spark):
+    frame = spark.createDataFrame([(0, ""), (1, None), (2, "plain")], "doc_id bigint, text string")
+    marks = find_items(frame).withColumn("replacement", F.col("identifier"))
+    assert {r.doc_id: r.text for r in apply_replacements(frame, marks).collect()} == {0: "", 1: None, 2: "plain"}
+    assert {r.doc_id: r.text for r in splice_fallbacks(with_items(frame)).collect()} == {0: "", 1: None, 2: "plain"}
+
+
 def test_rendered_blocks(spark):
     image = "struct<is_logo:boolean,logo_of:string,description:string,key_elements:array<string>>"
     rows = spark.createDataFrame(

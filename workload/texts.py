@@ -282,6 +282,20 @@ def make_chunks(spark, sf_dir):
     return chunked.select("doc_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
 
 
+@query("""
+SELECT doc_id, text || chr(10) || '<pai>table ' || lang || '</pai>' || chr(10) || '<pai>image ' || doc_id || '.png</pai>' || chr(10) || source AS text FROM documents""")
+def apply_nested_replacements(spark, sf_dir):
+    """An image in an HTML table after each document's text: both blocks are there, the image's after the table's."""
+    path = F.concat(F.lit("![i](p/"), F.col("doc_id").cast("string"), F.lit(".png)"))
+    grid = F.concat(F.lit("<table><td>"), path, F.lit("</td><td>"), "lang", F.lit("</td></table>"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws("\n", "text", grid, "source").alias("text"))
+    what = F.when(F.col("item_type") == "image", F.concat(F.lit("image "), "identifier")).otherwise(F.concat(F.lit("table "), "lang"))
+    # Some texts hold pipe tables of their own, which stay.
+    found = dc.find_items(docs, ("doc_id", "lang")).where((F.col("item_type") == "image") | F.col("identifier").startswith("table-html"))
+    blocks = found.withColumn("replacement", F.concat(F.lit("<pai>"), what, F.lit("</pai>")))
+    return dc.apply_replacements(docs.drop("lang"), blocks)
+
+
 _NEAR = PREVIEW.format(c="before || ' ' || after")
 SPLICED_SQL = rf"""
 SELECT doc_id, substring(text, 1, s2) || b2 || substring(text, e2 + 1, s1 - e2) || b1 || substring(text, e1 + 1, s3 - e1) || b3 || substring(text, e3 + 1) AS text
