@@ -1,13 +1,27 @@
 """Ingest, profiles, catalog, metadata, logs and user functions."""
 
+import datetime
+from decimal import Decimal
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.casts import cast_by_name, casts_by_name, spark_type
 from lodestack.operators import metadata as md
 from lodestack.operators.charts import validate_options
 from lodestack.operators.logs import check_response, extract_json
-from lodestack.operators.profile import dataset_column_stats, numeric_summary, profile_all, table_column_stats, top_values
+from lodestack.operators.profile import (
+    column_sketches,
+    dataset_column_stats,
+    merge_sketches,
+    numeric_summary,
+    profile_all,
+    profile_from_sketches,
+    table_column_stats,
+    top_values,
+)
 from lodestack.operators.sample import infer_sample_types, sample
 from lodestack.operators.search import search_terms
 from lodestack.operators.sql import open_database, run_readonly_sql, validate_sql
@@ -374,3 +388,54 @@ def test_grouped_aggregate_sends_states(spark, monkeypatch):
     with pytest.raises(Exception, match="must return an object"):
         run_grouped_aggregate(df, ["k"], partial, merge, lambda key, held: 5, "n bigint, total double, seen bigint", "k string").collect()
     assert run_grouped_aggregate(df.limit(0), ["k", "g"], partial, merge, finish, "n bigint, total double, seen bigint", "k string, n bigint").count() == 0
+
+
+ODD_TYPES = "`at` bigint, `we``ird` string, score double, parts array<double>, words array<string>, pair struct<a:int,b:string>, sum decimal(30,2), raw binary, day date"
+
+
+def odd_rows(spark):
+    long, day = "x" * 5000, datetime.date(2024, 1, 1)
+    rows = [
+        (1, "", float("nan"), [], [], (1, None), Decimal("1.00"), b"", day),
+        (1, None, 0.0, None, ["a, b"], (None, "1"), Decimal("1.00"), b"\x00", None),
+        (2, long, -0.0, [None], ["a", "b"], None, None, None, day),
+        (None, long + "y", None, [0.0], ["ab", ""], (1, None), Decimal("2.00"), b"", day),
+        (2, "short", 1.5, [-0.0], ["a", "b"], (1, ""), Decimal("1.00"), b"\x00\x00", day),
+        (3, "short", float("nan"), [0.0, None], None, (1, ""), None, b"", day),
+    ]
+    return spark.createDataFrame(rows, ODD_TYPES)
+
+
+def test_profile_of_odd_values_and_names(spark):
+    want = {
+        "at": (1, 0, 0, 3), "we`ird": (1, 1, 0, 4), "score": (1, 0, 2, 3), "parts": (1, 0, 0, 4), "words": (1, 0, 0, 4),
+        "pair": (1, 0, 0, 3), "sum": (2, 0, 0, 2), "raw": (1, 0, 0, 3), "day": (1, 0, 0, 1),
+    }
+    df = odd_rows(spark)
+    for approx in (False, True):
+        got = profile_all({"t": df}, approx=approx).collect()
+        assert {r.column_name: (r.null_count, r.empty_string_count, r.nan_count, r.distinct_count) for r in got} == want
+        assert {r.row_count for r in got} == {6}
+        empty = profile_all({"t": df.limit(0)}, approx=approx).collect()
+        assert sorted(r.column_name for r in empty) == sorted(want)
+        assert all(r.row_count == r.distinct_count == r.null_count == r.null_pct == 0 for r in empty)
+
+
+def test_values_do_not_reach_the_shuffle(spark):
+    df = spark.createDataFrame([("x" * 100,)], "text string")
+    plan = profile_all({"t": df})._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and not any("text" in line for line in exchanged)
+
+
+def test_sketches_of_batches_merge(spark):
+    df = spark.range(0, 30000, 1, 4).select(F.col("id"), (F.col("id") % 700).cast("string").alias("name"), F.lit(None).cast("string").alias("none"))
+    batches = [column_sketches(df.where(F.col("id") % 3 == n)) for n in range(3)]
+    batches.append(column_sketches(df.limit(0)))
+    merged = profile_from_sketches(merge_sketches(reduce(DataFrame.unionByName, batches)), "t").collect()
+    whole = profile_from_sketches(column_sketches(df), "t").collect()
+    plain = lambda rows: sorted((r.column_name, r.row_count, r.null_count) for r in rows)
+    assert plain(merged) == plain(whole) == [("id", 30000, 0), ("name", 30000, 0), ("none", 30000, 30000)]
+    estimates = {r.column_name: r.distinct_count for r in merged}
+    assert abs(estimates["id"] - 30000) <= 30000 * 0.065 and abs(estimates["name"] - 700) <= 700 * 0.065
+    assert estimates["none"] == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.functions.casts import cast_by_name
 from lodestack.operators import keys, profile
 from lodestack.operators import sample as samples
+from lodestack.session import shared_folder
 from lodestack.sources.tables import TableSet
 from workload.registry import query, table
 
@@ -180,6 +182,28 @@ def profile_sketch(spark, sf_dir):
     return _rounded(profile.profile_all(tables, approx=True)).drop("distinct_count")
 
 
+BATCHED = {"lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id"}
+BATCHED_SQL = [_stats_sql(*c) for c in PROFILED_COLUMNS if c[0] in BATCHED]
+
+
+@query(_each(SKETCH + ", true AS distinct_close FROM {t}", BATCHED_SQL))
+def profile_batches(spark, sf_dir):
+    """Sketches stored batch by batch and merged; the estimates are held against the exact counts, within four standard errors."""
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    parts = []
+    for name, key in BATCHED.items():
+        rows = table(spark, sf_dir, name)
+        for batch in range(3):
+            profile.column_sketches(rows.where(F.col(key) % 3 == batch)).write.parquet(f"{path}/{name}/batch={batch}")
+        merged = profile.merge_sketches(spark.read.parquet(f"{path}/{name}"))
+        parts.append(profile.profile_from_sketches(merged, name))
+    keys = ["table_name", "column_name"]
+    exact = profile.profile_all(TableSet.from_folder(spark, sf_dir, list(BATCHED))).select(*keys, F.col("distinct_count").alias("exact"))
+    both = _rounded(reduce(DataFrame.unionByName, parts)).join(exact, keys)
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.065
+    return both.withColumn("distinct_close", close).drop("distinct_count", "exact")
+
+
 @query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def sample_head(spark, sf_dir):
     return samples.sample(table(spark, sf_dir, "orders"), "o_orderkey", "head")
