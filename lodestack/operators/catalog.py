@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DB = ("user_id", "file_id")
@@ -74,16 +74,6 @@ def normalize_primary_key(key: Column) -> Column:
     return F.filter(F.coalesce(key, F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")) != "")
 
 
-def _differences(expected: DataFrame, found: DataFrame, by: Sequence[str], item: Sequence[str]) -> DataFrame:
-    """Keys that only one side has, with `kind` missing (not found) or extra (not expected)."""
-    left = expected.select(*by, *item).distinct().withColumn("_expected", F.lit(True))
-    right = found.select(*by, *item).distinct().withColumn("_found", F.lit(True))
-    both = left.join(right, [*by, *item], "full_outer")
-    return both.where(F.col("_expected").isNull() | F.col("_found").isNull()).withColumn(
-        "kind", F.when(F.col("_found").isNull(), "missing").otherwise("extra")
-    )
-
-
 def validate_spec(
     spec_columns: DataFrame,
     spec_keys: DataFrame,
@@ -95,57 +85,81 @@ def validate_spec(
     """(db…, table_name, check, kind, item, expected, found): specs against definitions, one row per disagreement.
 
     `spec_keys` holds (table_name, primary_key array<string>). Checks below table level run on tables that both
-    sides know. `issue_texts` turns the rows into sentences.
+    sides know. Items that either side lists twice count once, with the larger of two types. Everything meets by table in
+    one exchange. `issue_texts` turns the rows into sentences.
     """
     by = [*db, "table_name"]
     none = F.lit(None).cast("string")
-    known = columns.select(*by).distinct()
-    specced = spec_columns.select(*by).distinct()
-    common = known.join(specced, by, "left_semi")
-    ours, theirs = columns.join(common, by, "left_semi"), spec_columns.join(common, by, "left_semi")
 
-    def rows(found: DataFrame, check: str, item: Column, expected: Column = none, got: Column = none) -> DataFrame:
-        named = [F.lit(check).alias("check"), "kind", item.alias("item"), expected.alias("expected"), got.alias("found")]
-        return found.select(*by, *named)
-
-    typed = ours.select(*by, "column_name", F.col("data_type").alias("want")).join(
-        theirs.select(*by, "column_name", F.col("data_type").alias("got")), [*by, "column_name"]
+    def listed(rows: DataFrame, check: str, ours: bool, name: Column, dtype: Column = none, to: Sequence[Column] = (none, none)) -> DataFrame:
+        sides = [F.lit(ours).alias("expected"), F.lit(not ours).alias("found")]
+        types = [(dtype if ours else none).alias("want"), (none if ours else dtype).alias("got")]
+        return rows.select(*by, F.lit(check).alias("check"), name.alias("name"), to[0].alias("to_table"), to[1].alias("to_column"), *sides, *types)
+
+    column, target = F.col("column_name"), (F.col("to_table"), F.col("to_column"))
+    keys = spec_keys.select(*by, F.explode(normalize_primary_key(F.col("primary_key"))).alias("column_name"))
+    parts = [
+        listed(columns, "columns", True, column, F.col("data_type")),
+        listed(spec_columns, "columns", False, column, F.col("data_type")),
+        listed(columns.where("is_primary_key"), "primary_key", True, column),
+        listed(keys, "primary_key", False, column),
+        listed(foreign_keys, "foreign_keys", True, F.col("from_column"), to=target),
+        listed(spec_foreign_keys, "foreign_keys", False, F.col("from_column"), to=target),
+    ]
+    item = ["check", "name", "to_table", "to_column"]
+    sides = [F.max(c).alias(c) for c in ("expected", "found", "want", "got")]
+    items = reduce(DataFrame.unionByName, parts).repartition(*by).groupBy(*by, *item).agg(*sides)
+
+    check, expected, found = F.col("check"), F.col("expected"), F.col("found")
+    ordered = Window.partitionBy(*by).orderBy(*item)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def keys_of(side: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when((check == "primary_key") & side, F.col("name"))).over(whole))
+
+    # The first item of a table also stands for the table.
+    placed = items.withColumns(
+        {
+            "first": F.row_number().over(ordered) == 1,
+            "known": F.max(expected & (check == "columns")).over(whole),
+            "specced": F.max(found & (check == "columns")).over(whole),
+            "want_keys": keys_of(expected),
+            "got_keys": keys_of(found),
+        }
     )
-    differs = F.upper(F.coalesce("want", F.lit(""))) != F.upper(F.coalesce("got", F.lit("")))
+    known, specced, first = F.col("known"), F.col("specced"), F.col("first")
+    one_sided = F.when(expected, "missing").otherwise("extra")
     mismatch = F.lit("mismatch")
 
-    empty = F.array().cast("array<string>")
-    want_keys = ours.where("is_primary_key").groupBy(*by).agg(F.sort_array(F.collect_set("column_name")).alias("want"))
-    got_keys = spec_keys.select(
-        *by, F.sort_array(F.array_distinct(normalize_primary_key(F.col("primary_key")))).alias("got")
-    )
-    keys = (
-        common.join(want_keys, by, "left")
-        .join(got_keys, by, "left")
-        .select(*by, F.coalesce("want", empty).alias("want"), F.coalesce("got", empty).alias("got"))
-        .where(F.col("want") != F.col("got"))
-    )
-
-    link = ["from_column", "to_table", "to_column"]
-    links = _differences(
-        foreign_keys.join(common, by, "left_semi"), spec_foreign_keys.join(common, by, "left_semi"), by, link
-    )
-    found = [
-        rows(_differences(known, specced, db, ["table_name"]), "tables", F.col("table_name")),
-        rows(_differences(ours, theirs, by, ["column_name"]), "columns", F.col("column_name")),
-        rows(
-            typed.where(differs).withColumn("kind", mismatch), "types", F.col("column_name"), F.col("want"), F.col("got")
-        ),
-        rows(
-            keys.withColumn("kind", mismatch),
+    def issue(when: Column, name: str, kind: Column, what: Column, want: Column = none, got: Column = none) -> Column:
+        values = [F.lit(name).alias("check"), kind.alias("kind"), what.alias("item"), want.alias("expected"), got.alias("found")]
+        return F.when(when, F.struct(*values))
+
+    both, differ = known & specced, expected != found
+    want, got = F.col("want"), F.col("got")
+    link = F.format_string("%s->%s.%s", "name", "to_table", "to_column")
+    issues = [
+        issue(first & (known != specced), "tables", F.when(known, "missing").otherwise("extra"), F.col("table_name")),
+        issue(
+            first & both & (F.col("want_keys") != F.col("got_keys")),
             "primary_key",
+            mismatch,
             none,
-            F.array_join("want", ", "),
-            F.array_join("got", ", "),
+            F.array_join("want_keys", ", "),
+            F.array_join("got_keys", ", "),
+        ),
+        issue(both & (check == "columns") & differ, "columns", one_sided, F.col("name")),
+        issue(
+            both & (check == "columns") & ~differ & (F.upper(F.coalesce(want, F.lit(""))) != F.upper(F.coalesce(got, F.lit("")))),
+            "types",
+            mismatch,
+            F.col("name"),
+            want,
+            got,
         ),
-        rows(links, "foreign_keys", F.format_string("%s->%s.%s", *link)),
+        issue(both & (check == "foreign_keys") & differ, "foreign_keys", one_sided, link),
     ]
-    return reduce(DataFrame.unionByName, found)
+    return placed.select(*by, F.inline(F.array_compact(F.array(*issues))))
 
 
 def issue_texts(issues: DataFrame, db: Sequence[str] = DB) -> DataFrame:

@@ -5,10 +5,13 @@ All three count per key first, so rows sharing a hot key meet as one partial cou
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -58,6 +61,70 @@ def orphan_summary(child: DataFrame, parent: DataFrame, child_columns: Sequence[
     )
 
 
+@dataclass(frozen=True)
+class Link:
+    """A declared key between two tables, by their names."""
+
+    child: str
+    child_columns: Sequence[str]
+    parent: str
+    parent_columns: Sequence[str]
+
+    @property
+    def name(self) -> str:
+        return f"{self.child}.{','.join(self.child_columns)}->{self.parent}.{','.join(self.parent_columns)}"
+
+
+def _key_forms(tables: Mapping[str, DataFrame], link: Link) -> tuple[list[Column], list[Column]]:
+    """(whole number, text) of either side's key: one integral column as a number, other keys as JSON of types common to both sides."""
+    sides = [(tables[link.child], link.child_columns), (tables[link.parent], link.parent_columns)]
+    types = [[df.schema[c].dataType for c in columns] for df, columns in sides]
+    if len(types[0]) != len(types[1]):
+        raise ValueError(f"{link.name}: both sides need the same number of columns")
+    if len(types[0]) == 1 and all(isinstance(t[0], T.IntegralType) for t in types):
+        return tuple([F.col(columns[0]).cast("bigint"), F.lit(None).cast("string")] for _, columns in sides)
+
+    # Two empty columns brought together show the type that Spark would compare them in.
+    pairs = [F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b)) for a, b in zip(*types, strict=True)]
+    common = [f.dataType for f in tables[link.child].sparkSession.range(0).select(*pairs).schema.fields]
+
+    def text(columns: Sequence[str]) -> Column:
+        values = []
+        for i, (column, dtype) in enumerate(zip(columns, common, strict=True)):
+            value = F.col(column).cast(dtype)
+            if isinstance(dtype, (T.FloatType, T.DoubleType)):
+                value = value + F.lit(0.0)  # -0.0 equals 0.0
+            values.append(value.alias(f"k{i}"))
+        return F.to_json(F.struct(*values))
+
+    return tuple([F.lit(None).cast("bigint"), text(columns)] for _, columns in sides)
+
+
+def orphan_summaries(tables: Mapping[str, DataFrame], links: Sequence[Link]) -> DataFrame:
+    """`orphan_summary` of many links, one row per link with its name: each table is read once for all links it takes part in.
+
+    Keys of one link meet as counts per task, all links in the same exchange. A link between empty tables counts 0.
+    """
+    wanted: dict[str, list[Column]] = {}
+    for at, link in enumerate(links):
+        forms = _key_forms(tables, link)
+        for name, columns, form, child in ((link.child, link.child_columns, forms[0], 1), (link.parent, link.parent_columns, forms[1], 0)):
+            cell = F.struct(F.lit(at).alias("at"), form[0].alias("number"), form[1].alias("text"), F.lit(child).alias("child"))
+            wanted.setdefault(name, []).append(F.when(_all_set(columns), cell))
+    some = next(iter(tables.values())).sparkSession
+    none = some.range(0, len(links), 1, 1).selectExpr("CAST(id AS INT) AS at", "CAST(NULL AS BIGINT) AS number", "CAST(NULL AS STRING) AS text", "CAST(NULL AS INT) AS child")
+    met = [tables[name].select(F.inline(F.array_compact(F.array(*cells)))) for name, cells in wanted.items()]
+    rows = reduce(DataFrame.unionByName, [none, *met])
+    n, parents = F.coalesce(F.sum("child"), F.lit(0)).alias("n"), F.count_if(F.col("child") == 0).alias("parents")
+    counted = rows.groupBy("at", "number", "text").agg(n, parents)
+    orphan = (F.col("parents") == 0) & (F.col("n") > 0)
+    summed = counted.groupBy("at").agg(
+        F.sum("n").alias("child_rows"), F.sum(F.when(orphan, F.col("n")).otherwise(0)).alias("orphan_rows"), F.count_if(orphan).alias("orphan_keys")
+    )
+    names = F.array(*[F.lit(link.name) for link in links])
+    return summed.select(F.get(names, F.col("at")).alias("link"), "child_rows", "orphan_rows", "orphan_keys")
+
+
 def cardinality(child: DataFrame, parent: DataFrame, child_columns: Sequence[str], parent_columns: Sequence[str]) -> DataFrame:
     """One row with the relationship the data shows, from how often a key repeats on either side."""
     sides = key_counts(child, child_columns).select(F.lit("child").alias("side"), "n").unionByName(

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.casts import cast_by_name, casts_by_name, spark_type
 from lodestack.operators import metadata as md
+from lodestack.operators.catalog import validate_spec
 from lodestack.operators.charts import validate_options
+from lodestack.operators.keys import Link, orphan_summaries, orphan_summary
 from lodestack.operators.logs import check_response, extract_json
 from lodestack.operators.profile import (
     column_sketches,
@@ -439,3 +441,64 @@ def test_sketches_of_batches_merge(spark):
     estimates = {r.column_name: r.distinct_count for r in merged}
     assert abs(estimates["id"] - 30000) <= 30000 * 0.065 and abs(estimates["name"] - 700) <= 700 * 0.065
     assert estimates["none"] == 0
+
+
+def test_orphans_of_many_links_in_one_pass(spark):
+    child = spark.createDataFrame(
+        [(1, "a", 0.0, 1), (1, "b", -0.0, 2), (2, None, 1.5, 3), (None, "a", float("nan"), None), (9, "z", 7.0, 9)],
+        "id int, `at` string, score double, small int",
+    )
+    parent = spark.createDataFrame(
+        [(1, "a", 0.0, 1.0), (1, "a", 0.0, 2.0), (2, "b", float("nan"), None), (None, None, None, None)],
+        "id bigint, `at` string, score double, wide double",
+    )
+    links = [
+        Link("c", ["id"], "p", ["id"]),
+        Link("c", ["at"], "p", ["at"]),
+        Link("c", ["id", "at"], "p", ["id", "at"]),
+        Link("c", ["score"], "p", ["score"]),
+        Link("c", ["small"], "p", ["wide"]),
+        Link("c", ["id"], "c", ["small"]),
+    ]
+    one = {r.link: r[1:] for r in orphan_summaries({"c": child, "p": parent}, links).collect()}
+    frames = {"c": child, "p": parent}
+    each = {x.name: tuple(orphan_summary(frames[x.child], frames[x.parent], x.child_columns, x.parent_columns).first()) for x in links}
+    assert one == each
+    assert one["c.id->p.id"] == (4, 1, 1) and one["c.at->p.at"] == (4, 1, 1) and one["c.id,at->p.id,at"] == (3, 2, 2)
+    none = orphan_summaries({"c": child.limit(0), "p": parent.limit(0)}, links).collect()
+    assert sorted(r.link for r in none) == sorted(each) and all(tuple(r[1:]) == (0, 0, 0) for r in none)
+    with pytest.raises(ValueError, match="same number"):
+        orphan_summaries(frames, [Link("c", ["id"], "p", ["id", "at"])])
+
+
+def test_spec_against_definitions(spark):
+    db = "user_id string, file_id string, table_name string"
+    columns = spark.createDataFrame(
+        [("u", "f", "a", "x", 1, "INT", True), ("u", "f", "a", "y", 2, None, True), ("u", "f", "a", "z", 3, "TEXT", False), ("u", "f", "only", "x", 1, "INT", True)],
+        f"{db}, column_name string, ordinal int, data_type string, is_primary_key boolean",
+    )
+    spec = spark.createDataFrame(
+        [("u", "f", "a", "x", 1, "int"), ("u", "f", "a", "y", 2, "REAL"), ("u", "f", "a", "w", 3, "TEXT"), ("u", "g", "a", "x", 1, "INT")],
+        f"{db}, column_name string, ordinal int, data_type string",
+    )
+    spec_keys = spark.createDataFrame([("u", "f", "a", ["x", "", "x"]), ("u", "f", "only", ["q"]), ("u", "f", "gone", None)], f"{db}, primary_key array<string>")
+    link = f"{db}, from_column string, to_table string, to_column string, ordinal int"
+    keys = spark.createDataFrame([("u", "f", "a", "x", "b", "i", 0), ("u", "f", "a", "y", "b", None, 1), ("u", "f", "only", "x", "b", "i", 0)], link)
+    spec_links = spark.createDataFrame([("u", "f", "a", "y", "b", None, 0), ("u", "f", "a", "z", "b", "i", 1)], link)
+    got = validate_spec(spec, spec_keys, spec_links, columns, keys)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(
+        map(
+            str,
+            [
+                ("u", "f", "only", "tables", "missing", "only", None, None),
+                ("u", "g", "a", "tables", "extra", "a", None, None),
+                ("u", "f", "a", "columns", "missing", "z", None, None),
+                ("u", "f", "a", "columns", "extra", "w", None, None),
+                ("u", "f", "a", "types", "mismatch", "y", None, "REAL"),
+                ("u", "f", "a", "primary_key", "mismatch", None, "x, y", "x"),
+                ("u", "f", "a", "foreign_keys", "missing", "x->b.i", None, None),
+                ("u", "f", "a", "foreign_keys", "extra", "z->b.i", None, None),
+            ],
+        )
+    )
+    assert validate_spec(spec.limit(0), spec_keys.limit(0), spec_links.limit(0), columns.limit(0), keys.limit(0)).isEmpty()

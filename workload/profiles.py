@@ -318,7 +318,26 @@ FROM {c}""",
     )
 )
 def fk_orphans(spark, sf_dir):
-    return _per_link(spark, sf_dir, keys.orphan_summary)
+    tables = TableSet.from_folder(spark, sf_dir, sorted({name for c, _, p, _ in LINKS for name in (c, p)}))
+    return keys.orphan_summaries(tables, [keys.Link(c, [ck], p, [pk]) for c, ck, p, pk in LINKS])
+
+
+# Keys of two columns, of whole numbers and of text.
+@query("""
+SELECT 'events.user_id,event_type->orders.o_custkey,o_orderpriority' AS link, count(*) AS child_rows, count(*) AS orphan_rows,
+ count(DISTINCT (user_id, event_type)) AS orphan_keys FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL
+UNION ALL SELECT 'lineitem.l_orderkey,l_linenumber->orders.o_orderkey,o_custkey', count(*), count(*) FILTER (WHERE o_orderkey IS NULL),
+ count(DISTINCT (l_orderkey, l_linenumber)) FILTER (WHERE o_orderkey IS NULL)
+ FROM lineitem LEFT JOIN (SELECT DISTINCT o_orderkey, o_custkey FROM orders) ON o_orderkey = l_orderkey AND o_custkey = l_linenumber
+UNION ALL SELECT 'documents.source,lang->documents.source,lang', count(*), 0, 0 FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+def fk_orphans_composite(spark, sf_dir):
+    tables = TableSet.from_folder(spark, sf_dir, ["events", "orders", "lineitem", "documents"])
+    links = [
+        keys.Link("events", ["user_id", "event_type"], "orders", ["o_custkey", "o_orderpriority"]),
+        keys.Link("lineitem", ["l_orderkey", "l_linenumber"], "orders", ["o_orderkey", "o_custkey"]),
+        keys.Link("documents", ["source", "lang"], "documents", ["source", "lang"]),
+    ]
+    return keys.orphan_summaries(tables, links)
 
 
 @query("SELECT d.* FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
