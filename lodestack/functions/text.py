@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 # Blank characters under (?U): Unicode white space and the four separators that count as white space too.
 BLANK = r"[\s\x1c-\x1f]"
+# The same characters one by one, in order.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse_blanks(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import clean_markup, render_image, render_table, truncate_text
+from lodestack.functions.text import BLANK, BLANKS, clean_markup, render_image, render_table, strip, truncate_text
 from lodestack.operators.chunks import extract_chunks, with_chunks
 from lodestack.operators.documents import (
     apply_replacements,
@@ -34,6 +34,17 @@ def words(n, word="w"):
     return " ".join([word] * n)
 
 
+def test_strip_takes_all_blanks_and_nothing_else(spark):
+    points = [p for p in range(1, 0x3100) if not 0xD800 <= p < 0xE000]
+    rows = spark.createDataFrame([(p, chr(p) * 2 + "a" + chr(p) + "b" + chr(p)) for p in points], "point int, text string")
+    blank = F.col("text").rlike(rf"(?U)^{BLANK}{{2}}a")
+    bare = F.when(blank, F.substring("text", 3, 3)).otherwise(F.col("text"))
+    assert rows.where(strip(F.col("text")) != bare).isEmpty()
+    assert rows.where(blank).count() == len(BLANKS) == len(set(BLANKS))
+    odd = spark.createDataFrame([("",), (" \n\u3000",), (None,), ("\u2028é\u2028",)], "text string")
+    assert [r[0] for r in odd.select(strip(F.col("text"))).collect()] == ["", "", None, "é"]
+
+
 def test_clean_markup(spark):
     text = "a <!-- x\ny --> b  \n\n\n\n<p>  </p>c\t\nd"
     assert docs(spark, text).select(clean_markup(F.col("text"))).first()[0] == "a  b\n\nc\nd"
