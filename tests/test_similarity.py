@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.operators import search as se
 from lodestack.operators.knowledge import _links, connected, ingest_knowledge
 from lodestack.operators.search import containing_words, hybrid_search, neighbors, search, text_hits
 from lodestack.operators.similarity import band_keys, band_plan, check_vector_size, nearest_above, vector_top_k
@@ -285,3 +286,35 @@ def test_context_and_strict_clipping(spark):
     queries = spark.createDataFrame([(1, 1, "pear")], "query_id bigint, doc_id bigint, query string")
     row = search(queries, chunk_frame(spark)).first()
     assert [c.chunk_order for c in row.context] == [0, 1, 3]
+
+
+def shared_words(spark, texts: int = 60, queries: int = 40):
+    """One scope in which nearly every query shares a token with every chunk, and ids are reused by several chunks."""
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abc"), rng.integers(1, 4)))
+    chunks = [(1, i, f"c{rng.integers(texts)}", " ".join(word() for _ in range(rng.integers(0, 12))), "p") for i in range(texts)]
+    asked = [(q, 1, " ".join(word() for _ in range(6)), [float(q % 7), 1.0]) for q in range(queries)]
+    return (
+        spark.createDataFrame(chunks, "doc_id bigint, chunk_order int, chunk_id string, chunk string, original_tag_type string"),
+        spark.createDataFrame(asked, "query_id bigint, doc_id bigint, query string, vector array<double>"),
+    )
+
+
+def test_only_the_best_word_hits_leave_a_cell(spark):
+    chunks, queries = shared_words(spark)
+    assert text_hits(chunks, queries).count() > 40 * 30
+    nothing = queries.limit(0).select("query_id", "doc_id", F.lit("").alias("chunk_id"))
+    assert se.best_text_hits(chunks, queries, nothing, 3).count() == 40 * 3
+
+
+def test_hybrid_search_is_the_best_of_all_pairs(spark, monkeypatch):
+    chunks, queries = shared_words(spark)
+    rng = np.random.default_rng(18)
+    points = [(1, f"c{i}", rng.standard_normal(2).tolist()) for i in range(0, 70)]
+    vectors = spark.createDataFrame(points, "doc_id bigint, chunk_id string, vector array<double>")
+    hits = vector_top_k(queries, vectors.withColumnRenamed("chunk_id", "stored_id"), 4, ["doc_id"]).withColumnRenamed("stored_id", "chunk_id")
+    whole = {tuple(r) for r in se.merge_scores(hits, text_hits(chunks, queries), chunks, 4).collect()}
+    assert {tuple(r) for r in hybrid_search(queries, chunks, 4, vectors=vectors).collect()} == whole and len(whole) == 160
+    monkeypatch.setattr(se, "RANKED_BYTES", 1_500)  # several blocks on either side
+    monkeypatch.setattr(se, "ASKED_ROWS", 7)
+    assert {tuple(r) for r in hybrid_search(queries, chunks, 4, vectors=vectors).collect()} == whole
