@@ -318,3 +318,15 @@ def test_hybrid_search_is_the_best_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(se, "RANKED_BYTES", 1_500)  # several blocks on either side
     monkeypatch.setattr(se, "ASKED_ROWS", 7)
     assert {tuple(r) for r in hybrid_search(queries, chunks, 4, vectors=vectors).collect()} == whole
+
+
+def test_windows_are_put_together_once_for_all_hits(spark, monkeypatch):
+    chunks, queries = shared_words(spark)
+    asked, plain = [], se.neighbors
+    monkeypatch.setattr(se, "neighbors", lambda hits, *args, **more: (asked.append(hits.count()), plain(hits, *args, **more))[1])
+    found = search(queries, chunks, 4).collect()
+    by_id = {r.chunk_order: r for r in chunks.collect()}
+    assert len(found) == 160 and asked[0] == len({r.chunk_order for r in found}) < 160
+    for r in found:
+        near = [by_id[i] for i in range(r.chunk_order - 2, r.chunk_order + 3) if i in by_id]
+        assert [(c.chunk_order, c.chunk_id, c.text) for c in r.context] == [(n.chunk_order, n.chunk_id, n.chunk) for n in near]
