@@ -12,9 +12,10 @@ from lodestack.operators.documents import (
     splice_fallbacks,
     with_items,
 )
+from lodestack.operators.embed import embed
 from lodestack.operators.figures import figure_boxes, splice_figures
 from lodestack.operators.table_functions import register_table_functions
-from lodestack.plans.documents import chunk_documents
+from lodestack.plans.documents import chunk_documents, ingest_chunks
 
 
 def docs(spark, *texts):
@@ -223,3 +224,25 @@ def test_table_function_of_odd_texts(spark):
     assert rows == [(4, 0, "![x](y.png)", (), ()), (4, 1, "![x](y.png)", ("a",), ("b",)), (5, 50_000, "![x](p/q.png)", ("a",) * 5, ())]
     assert all(r.kind == "image" and r.number == 1 for r in got)
     assert spark.sql("SELECT * FROM {docs}, LATERAL text_items(text)", docs=docs.limit(0)).count() == 0
+
+
+def test_chunks_are_embedded_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def letters(texts):
+        seen.add(len(texts))
+        return [[float(t.count("a")), float(t.count("b"))] for t in texts]
+
+    pages = spark.createDataFrame([(f"h{i}", "<p>" + "a" * i + "</p> <p> </p><p>b</p>") for i in range(1, 4)], "file_hash string, processed string")
+    points = spark.createDataFrame([("old", [0.0, 2.0])], "chunk_id string, vector array<double>")
+    mappings = spark.createDataFrame([], "input_file_hash string, chunk_order int, chunk string, chunk_id string, original_tag_type string")
+    done = ingest_chunks(pages, points, mappings, lambda df: embed(df, letters).withColumn("vector", F.col("vector").cast("array<double>")), 2)
+    assert done.records.where("reused").count() == 3 and done.points.count() == 4
+    assert sorted((r.chunk_order, r.chunk) for r in done.mappings.collect()) == [(0, "a"), (0, "aa"), (0, "aaa"), (2, "b"), (2, "b"), (2, "b")]
+    assert seen.value == 6
+
+
+def test_extracted_bodies_of_mixed_tags(spark):
+    text = "<P>é\n \U0001f600</p><PaI> x <p>y</p> </pAi><p>z</pai></p><p></p>"
+    rows = extract_chunks(docs(spark, text)).orderBy("chunk_order").collect()
+    assert [(r.chunk_order, r.chunk, r.original_tag_type) for r in rows] == [(0, "é \U0001f600", "p"), (1, "x <p>y</p>", "pai"), (2, "z</pai>", "p")]
