@@ -502,3 +502,19 @@ def test_spec_against_definitions(spark):
         )
     )
     assert validate_spec(spec.limit(0), spec_keys.limit(0), spec_links.limit(0), columns.limit(0), keys.limit(0)).isEmpty()
+
+
+def test_terms_out_of_reach_are_dropped_before_hits_are_looked_up(spark):
+    rows = [(f"{'ab'[i % 2]}{i % 13}a{'b' * (i % 3)}", i % 5 or None, i, "t", f"p{i % 4}") for i in range(200)]
+    postings = spark.createDataFrame(rows, "term string, term_pos bigint, hit_pos bigint, type string, path string")
+    keywords = spark.createDataFrame([("a",), (" B ",), ("a0a",), ("1",), ("zz",)], "keyword string")
+    for limit in (1, 3, 20):
+        want = set()
+        for keyword in ("a", " B ", "a0a", "1", "zz"):
+            needle = keyword.strip().lower()
+            hits = sorted((r[0] != needle, r[1] is not None, r[1] or 0, r[2], r[3], r[4]) for r in rows if needle in r[0])[:limit]
+            for pos, hit in reversed(list(enumerate(hits, 1))):
+                want = {w for w in want if (w[0], *w[2:]) != (keyword, *hit[4:])} | {(keyword, pos, *hit[4:])}
+        found = search_terms(postings, keywords, limit)
+        assert {tuple(r) for r in found.collect()} == want
+        assert "windowspecdefinition(needle" in found._jdf.queryExecution().toString()
