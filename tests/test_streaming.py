@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.streaming import jobs as st
 from lodestack.streaming.compaction import fold_batches, read_batches
+from workload import streams
 
 
 def put(spark, out, number, rows):
@@ -75,3 +76,20 @@ def test_dropped_files_are_known_after_a_fold(spark, tmp_path, fold):
             assert st.fold_drops(spark, out) == min(n, 1)
     assert sorted((r.id, r.note) for r in st.dropped_rows(spark, out).collect()) == [(n, f"a\n{n}") for n in range(3)]
     assert read_batches(spark, f"{out}/arrivals").count() == 9
+
+
+def test_dropped_texts_come_in_more_files_where_the_table_has_more_splits(spark, monkeypatch):
+    drops = []
+    plain = st.stream_csv_drops
+    monkeypatch.setattr(st, "stream_csv_drops", lambda session, folder, *rest: (drops.append(folder), plain(session, folder, *rest))[1])
+    sizes = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (1 << 22, 1 << 18):
+            for key in sizes:
+                spark.conf.set(key, size)
+            assert streams.stream_csv_texts(spark, "/root/testdata/sf0.01").count() == 1000
+    finally:
+        for key, size in sizes.items():
+            spark.conf.set(key, size)
+    few, many = (len(spark.read.format("binaryFile").load(folder).select("path").collect()) for folder in drops)
+    assert 3 <= few < many

@@ -107,7 +107,9 @@ def stream_csv_texts(spark, sf_dir):
     """Dropped files whose quoted fields hold line breaks and quotes."""
     drops, out, check = (fresh_folder(spark, n) for n in ("text-drops", "text-out", "text-check"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartition(3).write.options(header=True, quote='"', escape='"').csv(drops)
+    # Several files, and more where the table takes more tasks to read, so that none grows with it.
+    files = max(3, docs.rdd.getNumPartitions())
+    docs.repartition(files).write.options(header=True, quote='"', escape='"').csv(drops)
     st.stream_csv_drops(spark, drops, docs.schema, "u", out, check).awaitTermination()
     return st.dropped_rows(spark, out).drop("file_id")
 
