@@ -59,6 +59,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = groups.join(held.select(row, "doc_id"), row)
     first = known.groupBy("component_id").agg(F.min(least).alias("m")).select("component_id", F.col(f"m.{row}").alias("first"))
     gone = scratch.put(known.join(first, "component_id").where(F.col(row) != F.col("first")).select(row))
+    # Here and not in the next stage, which runs no Python.
+    give_back_memory(spark)
     return held.join(gone, row, "left_anti").select(docs.columns)
 
 
@@ -66,9 +68,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it: not, once or twice.
 
     A null source is a source of its own, a null text has size 0 and is not taken beyond whole rounds of its source. Rows that repeat an
-    id are drawn alike. An empty table stays empty.
+    id are drawn alike. An empty table stays empty. Only built-in functions run.
     """
-    give_back_memory(spark)
     return mix_documents(docs, Scratch(spark, "mix"))
 
 

@@ -93,3 +93,14 @@ def test_stages_of_odd_rows(spark, scratch, odd_rows):
     want = {(i, t) for i, (_, t) in brute_lines([(i, t) for i, t, _ in odd_rows if i is not None and i != 5]).items()}
     assert (1, None) in kept and (2, "") in kept and {i for i, _ in kept} <= {i for i, _, _ in odd_rows} and want
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(odd_rows)
+
+
+def test_mixing_runs_no_python_on_executors(spark, monkeypatch):
+    def no_python(session):
+        raise AssertionError("mixing starts Python workers")
+
+    monkeypatch.setattr(corpus_pipeline, "give_back_memory", no_python)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    mixed = corpus_pipeline.mix(spark, docs, SMALL)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert mixed.count() > docs.count() and not [name for name in ("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython") if name in plan]
