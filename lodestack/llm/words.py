@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+#: Bytes hashed at once, few enough that the working arrays stay in a core's cache; hashes don't depend on it.
+HASHED = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UINT = np.uint64
 
@@ -88,7 +90,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 * BLOCK)
 
 def token_spans(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte spans of all tokens, and for each text the index of its first token, with a closing one."""
-    kinds = classes[data]
+    kinds = np.frombuffer(data.tobytes().translate(classes.tobytes()), np.uint8)
+    if classes.max() == 1:  # one kind of token: where it begins and where it ends
+        begins, stops = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        np.greater(kinds[1:], kinds[:-1], out=begins[1:-1])
+        np.less(kinds[1:], kinds[:-1], out=stops[1:-1])
+        begins[offsets[offsets < len(data)]] = kinds[offsets[offsets < len(data)]]
+        stops[offsets[offsets > 0]] = kinds[offsets[offsets > 0] - 1]
+        begins[0] = len(data) > 0 and kinds[0]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
+        return starts, ends, np.searchsorted(starts, offsets)
     cuts = np.ones(len(data) + 1, bool)
     np.not_equal(kinds[1:], kinds[:-1], out=cuts[1:-1])
     cuts[offsets] = True
@@ -105,10 +116,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     i = 0
     while i < len(starts):
         low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, low + HASHED, "right")))
         up, down = powers(int(ends[j - 1] - low) + 1)
         sums = np.zeros(int(ends[j - 1] - low) + 1, _UINT)
-        np.cumsum(values[data[low : ends[j - 1]]] * up[: len(sums) - 1], out=sums[1:])
+        np.cumsum(values.take(data[low : ends[j - 1]]) * up[: len(sums) - 1], out=sums[1:])
         out[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * down[starts[i:j] - low]
         i = j
     return mixed(out)

@@ -4,15 +4,18 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from sample_words import words
 
+from lodestack.llm import lines
 from lodestack.llm.bpe import Codec, build_model, encode_documents, read_ranks
 from lodestack.llm.components import components
 from lodestack.llm.lines import dedupe_lines
@@ -297,6 +300,51 @@ def test_lines_of_repeated_rows_stay_in_both(spark, scratch, make_docs):
     assert sorted((r.row.doc_id, r.kept_text) for r in got) == [(1, "a b c\nd"), (1, "a b c\nd"), (2, "")]
 
 
+def test_alike_lines_cost_one_comparison_each(spark, scratch, make_docs):
+    base = words(21, 20, 10**6)
+    rows = [(n, " ".join([*base, f"v{n}"]), "l") for n in range(40)]
+    put, compared = scratch.put, []
+
+    def counted(df, *more):
+        out = put(df, *more)
+        if out.columns == ["x", "y"]:
+            compared.append(out.count())
+        return out
+
+    scratch.put = counted
+    got = {r.row.doc_id: r.kept_text for r in dedupe_lines(make_docs(rows), scratch).collect()}
+    assert got == {i: text for i, (_, text) in brute_lines(rows).items()}
+    assert 0 < max(compared) <= len(rows)
+
+
+def test_full_sets_tokenise_chosen_lines_only(monkeypatch):
+    texts = ["", "a b\nB a c\n\nd", "\n", "e f", "g\nh h\n"]
+    seen, line_words = [], lines.line_words
+    monkeypatch.setattr(lines, "line_words", lambda column, rank: seen.extend(column.to_pylist()) or line_words(column, rank))
+    monkeypatch.setattr(lines, "passes", lambda _, o: np.isin(o, wanted))
+    wanted = lines.places(np.array([1, 1, 3, 4]), np.array([1, 2, 0, 1]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.arange(5))], names=["text", "r"])
+    out = pa.Table.from_batches(lines._full_sets(SimpleNamespace(value=None))([batch])).to_pylist()
+    assert seen == [b"B a c", b"", b"e f", b"h h"]
+    assert [(x["r"], x["line"], len(x["words"])) for x in out] == [(1, 1, 3), (3, 0, 2), (4, 1, 1)]
+
+
+def test_met_over_batches_of_any_size():
+    rng = np.random.default_rng(5)
+    size, word = rng.integers(1, 12, 400), rng.integers(-2, 3, 400)
+    meet = np.sort((word << 32) + size)
+    rows = np.zeros(400, lines._POSTING)
+    rows["name"], rows["order"], rows["open"] = rng.permutation(400), rng.integers(0, 300, 400), rng.integers(0, 2, 400)
+    n = meet & 0xFFFFFFFF
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(400), np.arange(400)))
+    fits = lines.could_match(n, rows, n, rows, i, j, 80)
+    want = {(rows["name"][a], rows["name"][b]) for a, b in zip(i[fits], j[fits]) if meet[a] >> 32 == meet[b] >> 32 and rows["open"][a] and rows["order"][b] <= rows["order"][a]}
+    for step in (1, 7, 400):
+        batches = [pa.RecordBatch.from_arrays([pa.array(meet[k : k + step]), lines._packed(rows[k : k + step], rows.itemsize)], names=["meet", "posting"]) for k in range(0, 400, step)]
+        got = [(x["x"], x["y"]) for b in lines._met(80)([batches[0].slice(0, 0), *batches]) for x in b.to_pylist()]
+        assert set(got) == want and len(got) == len(want) > 1000
+
+
 def test_lines_on_given_table(spark, scratch):
     docs = [(d["doc_id"], d["text"]) for d in small("documents")]
     got = {r.row.doc_id: (r.n_lines, r.kept_text) for r in dedupe_lines(spark.read.parquet(f"{SMALL}/documents.parquet"), scratch).collect()}
