@@ -104,3 +104,14 @@ def test_dropped_rows_are_gone(spark):
     assert glob.glob(file)
     drop_cut(rows.where("id > 3"))
     assert not glob.glob(file)
+
+
+def test_many_partitions_make_no_more_blocks(spark):
+    frame = spark.createDataFrame([(i, "s", i, [float(i), 1.0]) for i in range(600)], "id bigint, s string, t bigint, vector array<double>")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert pr.pack_blocks(frame.repartition(40), ["s"], "t").count() == 1
+        assert pr.pack_blocks(frame.repartition(40), ["s"], "t", block_rows=256).count() == 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
